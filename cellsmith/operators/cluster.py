@@ -82,14 +82,15 @@ def hierarchical_clusters(points: DataFrame, k: int, vec: str = "vec", weight: s
     return model.transform(data).select(*points.columns, "cluster")
 
 
-def eps_components(points: DataFrame, key: str, eps: float = 0.5, vec: str = "vec") -> DataFrame:
+def eps_components(points: DataFrame, key: str, eps: float = 0.5, vec: str = "vec", weight: str | None = None) -> DataFrame:
     """Density clusters with at least two members: components of the eps-graph; noise gets -1.
 
     Cluster id = least row id of the component. Equal vectors are linked through
     their first row, so copies never meet in pairs.
     """
-    rows = points.select(name(key).alias("id"), F.col(vec).alias("vec"), F.xxhash64(F.col(vec)).alias("_h"))
-    firsts = checkpointed(rows.groupBy("_h", "vec").agg(F.min("id").alias("id"), F.count("*").alias("copies")))
+    copies = F.col(weight) if weight else F.lit(1)
+    rows = points.select(name(key).alias("id"), F.col(vec).alias("vec"), F.xxhash64(F.col(vec)).alias("_h"), copies.alias("w"))
+    firsts = checkpointed(rows.groupBy("_h", "vec").agg(F.min("id").alias("id"), F.sum("w").alias("copies")))
     dims = len(firsts.first()["vec"])
     found = connected_components(eps_links(firsts.select("id", "vec"), eps, dims))
     labelled = firsts.join(found, F.col("id") == F.col("node"), "left").select(
@@ -110,9 +111,9 @@ def cluster_means(points: DataFrame, cluster: str, vec: str, weight: str | None
     return points.groupBy(cluster).agg(mean.alias("_mean"), F.sum(w).alias("_size"))
 
 
-def nearest_to_mean(points: DataFrame, key: str, cluster: str = "cluster", vec: str = "vec") -> DataFrame:
+def nearest_to_mean(points: DataFrame, key: str, cluster: str = "cluster", vec: str = "vec", weight: str | None = None) -> DataFrame:
     """Member nearest its cluster mean, least id on a tie."""
-    joined = points.join(cluster_means(points, cluster, vec), cluster)
+    joined = points.join(cluster_means(points, cluster, vec, weight), cluster)
     squares = F.zip_with(vec, "_mean", lambda a, b: (a - b) * (a - b))
     distance = F.round(F.sqrt(F.aggregate(squares, F.lit(0.0), lambda s, v: s + v)), 9)
     best = F.min(F.struct(distance.alias("distance"), name(key).alias("id")))

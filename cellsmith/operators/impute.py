@@ -8,7 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import RandomForestRegressionModel, RandomForestRegressor
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,12 +32,17 @@ def blend(observed: DataFrame, generated: DataFrame, key: str, columns: Sequence
     )
 
 
+def sample_order(key: str, seed: int) -> Column:
+    """Repeatable 52-bit position of a row in the seeded order."""
+    text = F.md5(F.concat_ws("|", F.lit(str(seed)), name(key).cast("string")))
+    return F.conv(F.substring(text, 1, 13), 16, 10).cast("bigint").cast("double")
+
+
 def seeded_sample(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
-    """Exactly n rows (all, if fewer) by key hash; the cut is a hash threshold, so nothing is sorted or gathered."""
+    """The n rows first in the seeded order (all, if fewer); a threshold cut, so nothing is sorted or gathered."""
     from cellsmith.operators.ordering import _exact
 
-    span = 1 << 52
-    order = F.pmod(F.xxhash64(F.lit(seed), name(key)), F.lit(span)).cast("double")
+    order = sample_order(key, seed)
     total = df.count()
     if n >= total:
         return df

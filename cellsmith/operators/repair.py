@@ -26,18 +26,32 @@ FD_VIOLATION = "Violation of Functional Dependency"
 CLEAN = "clean"
 
 
+def _let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and use it many times inside ``body``."""
+    return F.transform(F.array(value), body)[0]
+
+
 def cell_embedding(value: Column, dims: int = EMBED_DIMS) -> Column:
     """L2-normalised counts of hashed character trigrams of ``^text$``; NULL reads ``null``."""
     text = F.concat(F.lit("^"), null_text(value), F.lit("$"))
-    grams = F.transform(
-        F.sequence(F.lit(1), F.greatest(F.length(text) - 2, F.lit(1))), lambda i: F.substring(text, i, F.lit(3))
-    )
-    buckets = F.transform(grams, lambda g: hash_bucket(g, dims))
-    counts = F.transform(
-        F.sequence(F.lit(0), F.lit(dims - 1)), lambda d: F.size(F.filter(buckets, lambda b: b == d)).cast("double")
-    )
-    norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda s, v: s + v * v))
-    return F.transform(counts, lambda v: v / norm)
+
+    def hashed(t: Column) -> Column:
+        spots = F.sequence(F.lit(1), F.greatest(F.length(t) - 2, F.lit(1)))
+        return F.transform(spots, lambda i: hash_bucket(F.substring(t, i, F.lit(3)), dims))
+
+    def counted(buckets: Column) -> Column:
+        slots = F.sequence(F.lit(0), F.lit(dims - 1))
+        return F.transform(slots, lambda d: F.size(F.filter(buckets, lambda b: b == d)).cast("double"))
+
+    def normalised(counts: Column) -> Column:
+        length = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda s, v: s + v * v))
+        return _let(length, lambda n: F.transform(counts, lambda v: v / n))
+
+    return _let(_let(_let(text, hashed), counted), normalised)
+
+
+def _times(vec: Column, factor: Column) -> Column:
+    return F.transform(vec, lambda v: v.cast("double") * factor)
 
 
 def embedding_dictionary(df: DataFrame, columns: Sequence[str], dims: int = EMBED_DIMS) -> DataFrame:
@@ -53,8 +67,7 @@ def row_vector(columns: Sequence[str], dims: int = EMBED_DIMS, flags: Mapping[st
     for c in columns:
         block = cell_embedding(name(c), dims)
         if weights is not None:
-            weight = F.lit(float(weights[c]))
-            block = F.transform(block, lambda v, w=weight: v * w)
+            block = _times(block, F.lit(float(weights[c])))
         if flags is not None:
             block = F.when(F.coalesce(flags[c].cast("boolean"), F.lit(False)), F.array_repeat(F.lit(0.0), dims)).otherwise(block)
         blocks.append(block)
@@ -99,7 +112,7 @@ def zero_and_weight(vec: Column, flags: Sequence[Column], weights: Sequence[floa
     for i, (flag, weight) in enumerate(zip(flags, weights)):
         block = F.slice(vec, i * dims + 1, dims)
         keep = F.when(F.coalesce(flag.cast("boolean"), F.lit(False)), F.lit(0.0)).otherwise(F.lit(float(weight)))
-        out.append(F.transform(block, lambda v, k=keep: v.cast("double") * k))
+        out.append(_times(block, keep))
     return F.concat(*out)
 
 

@@ -3,3 +3,6 @@
 import workload.dependency_queries  # noqa: F401
 import workload.profile_queries  # noqa: F401
 import workload.score_queries  # noqa: F401
+import workload.similarity_queries  # noqa: F401
+import workload.repair_queries  # noqa: F401
+import workload.impute_queries  # noqa: F401
