@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cellsmith.functions.scalars import name
-from cellsmith.session import checkpointed
+from cellsmith.session import checkpointed, spread
 from cellsmith.sources.tables import load_state, save_state
 
 LOCAL_PATTERNS = 4096
@@ -284,7 +284,7 @@ class ChainedForest:
         self.steps = []
         targets = [i for g, i in sorted((first["n"] - first[f"k{i}"], i) for i in range(d)) if 0 < g < first["n"]]
         most = max((first[f"a{i}"] or 0.0) for i in range(d)) if d else 0.0
-        current = checkpointed(self._start(df.select(*[name(c) for c in self.columns])))
+        current = checkpointed(spread(self._start(df.select(*[name(c) for c in self.columns]))))
         for _ in range(self.max_iter):
             moving = current.select("*", *[F.col(f"_x{i}").alias(f"_o{i}") for i in range(d)])
             for target in targets:
