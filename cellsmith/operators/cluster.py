@@ -18,6 +18,7 @@ from cellsmith.operators.similarity import _squared, _stack, eps_links, split_gr
 from cellsmith.session import checkpointed
 
 MAX_K = 10
+FIT_ROWS = 50_000
 
 
 def knee(costs: Sequence[float], sensitivity: float = 1.0) -> int:
@@ -197,6 +198,13 @@ def propagate_labels(members: DataFrame, representatives: DataFrame, labels: Dat
     return members.join(marked, cluster).select(name(key), cluster, "label")
 
 
+def fit_sample(rows: DataFrame, key: str, limit: int = FIT_ROWS) -> DataFrame:
+    """Rows that place the k-means centres, as mini-batches would: a seeded sample. Every row is still assigned."""
+    from cellsmith.operators.impute import seeded_sample
+
+    return seeded_sample(rows, key, limit, seed=42)
+
+
 def repair_candidates(rows: DataFrame, mask: DataFrame, key: str, n: int, vec: str = "vec", seed: int = 42) -> DataFrame:
     """Rows to hand to a human: cluster the flagged rows, then take from each cluster, in order,
 
@@ -206,11 +214,14 @@ def repair_candidates(rows: DataFrame, mask: DataFrame, key: str, n: int, vec: s
     columns = [c for c in mask.columns if c != key]
     flags = F.concat(*[F.coalesce(name(c).cast("int"), F.lit(0)).cast("string") for c in columns])
     flagged = rows.join(mask.select(name(key), flags.alias("pattern")), key).filter(F.contains("pattern", F.lit("1")))
-    data = checkpointed(flagged.select(name(key), "pattern", F.col(vec).alias("vec")))
-    features = data.select("*", array_to_vector("vec").alias("features"))
-    model = KMeans(k=n, seed=seed, predictionCol="cluster").fit(features) if n > 1 else None
+    # Equal flag patterns with equal vectors are one weighted point; its first row stands for it.
+    data = checkpointed(
+        flagged.groupBy("pattern", F.col(vec).alias("vec")).agg(F.count("*").cast("double").alias("weight"), F.min(name(key)).alias("id"))
+    )
+    features = data.select("pattern", "id", "weight", array_to_vector("vec").alias("features"))
+    model = KMeans(k=n, seed=seed, weightCol="weight", predictionCol="cluster").fit(fit_sample(features, "id")) if n > 1 else None
     placed = model.transform(features) if model else features.withColumn("cluster", F.lit(0))
-    patterns = checkpointed(placed.groupBy("cluster", "pattern").agg(F.min(name(key)).alias("id")))
+    patterns = checkpointed(placed.groupBy("cluster", "pattern").agg(F.min("id").alias("id")))
     covered: set[int] = set()
     chosen = []
     for cluster in range(n):
@@ -239,7 +250,7 @@ def clean_representatives(rows: DataFrame, mask: DataFrame, key: str, n: int, ve
     features = data.select(name(key), array_to_vector("vec").alias("features"))
     k = min(n, held)
     placed = (
-        KMeans(k=k, seed=seed, predictionCol="cluster").fit(features).transform(features)
+        KMeans(k=k, seed=seed, predictionCol="cluster").fit(fit_sample(features, key)).transform(features)
         if k > 1
         else features.withColumn("cluster", F.lit(0))
     )

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cellsmith.operators.detect import inject_missing
+from cellsmith.session import spread
 from workload.registry import sql_unit, table
 
 # --- orders joined with the customer segment; the segment is blanked or overwritten by key ---------------------
@@ -132,7 +133,7 @@ gaps AS (SELECT row_id, {', '.join(_gap(c) for c in PRICE_COLUMNS)} FROM truth)"
 
 
 def price_truth(spark: SparkSession, sf: str) -> DataFrame:
-    line = table(spark, sf, "lineitem")
+    line = spread(table(spark, sf, "lineitem"))
 
     def fixed(c: str):
         return F.col(c).cast("decimal(18,2)").cast("string")
