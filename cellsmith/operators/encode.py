@@ -37,7 +37,8 @@ def decode_column(df: DataFrame, column: str, dictionary: DataFrame) -> DataFram
     size = dictionary.agg(F.max("code")).first()[0]
     if size is None:
         return df.withColumn(column, F.lit(None).cast("string"))
-    code = F.greatest(F.lit(0), F.least(F.lit(size), F.bround(name(column).cast("double"), 0).cast("bigint")))
+    rounded = F.bround(name(column).cast("double"), 0).cast("bigint")
+    code = F.when(rounded.isNotNull(), F.greatest(F.lit(0), F.least(F.lit(size), rounded)))
     texts = dictionary.select(F.col("value").alias("_text"), F.col("code").alias("_code"))
     joined = df.withColumn("_at", code).join(texts, F.col("_at") == F.col("_code"), "left")
     return joined.select(*[F.col("_text").alias(c) if c == column else name(c) for c in df.columns])

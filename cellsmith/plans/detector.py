@@ -5,8 +5,11 @@ spread the labels, and learn rules or a forest that score every cell.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Mapping
 
+from multiprocessing.pool import ThreadPool
+
+from pyspark import inheritable_thread_target
 from pyspark.ml.classification import RandomForestClassificationModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,6 +41,7 @@ class CellDetector:
         rule_threshold: float = RULE_THRESHOLD,
         eps: float = 0.5,
         max_k: int = MAX_K,
+        parallelism: int = 4,
         seed: int = 42,
     ):
         if cluster not in ("bisecting", "eps"):
@@ -46,6 +50,7 @@ class CellDetector:
         self.cluster, self.use_model, self.related_top = cluster, use_model, related_top
         self.with_distribution, self.with_errors = with_distribution, with_errors
         self.rule_threshold, self.eps, self.max_k, self.seed = rule_threshold, eps, max_k, seed
+        self.parallelism = parallelism
         self.models: dict[str, RandomForestClassificationModel] | None = None
         self.kept: dict[str, list[str]] = {}
         self.related: dict[str, list[str]] = {}
@@ -83,28 +88,37 @@ class CellDetector:
         if self.related_top and len(columns) > 1:
             for r in related_columns(nmi_pairs(df, columns), self.related_top).orderBy("col", "rank").collect():
                 self.related.setdefault(r["col"], []).append(r["related"])
-        for column in columns:
+        # Columns are independent; a few at a time keep the cluster busy, as in pyspark.ml.tuning.
+        step = inheritable_thread_target(df.sparkSession)(lambda column: self._fit_column(df, column))
+        with ThreadPool(max(1, min(self.parallelism, len(columns)))) as pool:
+            fitted = dict(zip(columns, pool.map(step, columns)))
+        for column, (kept, model) in fitted.items():
+            if kept:
+                self.kept[column] = kept
+            if model is not None:
+                self.models[column] = model
             if self.with_distribution:
                 self.distribution[column] = distribution_report(df, column)
-            values = self.labelled_values(df, column)
-            if column in self.rules:
-                labelled = df.join(
-                    values.select(F.col("value").alias("_value"), "label"), name(column).cast("string").eqNullSafe(F.col("_value"))
-                )
-                kept = kept_rules(labelled, self.rules[column], self.rule_threshold)
-                if kept:
-                    self.kept[column] = list(kept.values())
-            if self.use_model:
-                errors = None
-                if self.with_errors:
-                    made = synthetic_errors(values.filter("label = 0"), "id", "value", self.seed)
-                    order = F.xxhash64(F.lit(self.seed), "id")
-                    errors = made.orderBy(order, "id").limit(SYNTHETIC_LIMIT).select(F.col("error").alias("value"))
-                model = fit_column_forest(values, errors, seed=self.seed)
-                if model is not None:
-                    self.models[column] = model
         return self
 
+    def _fit_column(self, df: DataFrame, column: str) -> tuple[list[str], RandomForestClassificationModel | None]:
+        values = self.labelled_values(df, column)
+        kept: dict[str, str] = {}
+        if column in self.rules:
+            labelled = df.join(
+                values.select(F.col("value").alias("_value"), "label"), name(column).cast("string").eqNullSafe(F.col("_value"))
+            )
+            kept = kept_rules(labelled, self.rules[column], self.rule_threshold)
+        model = None
+        if self.use_model:
+            errors = None
+            if self.with_errors:
+                made = synthetic_errors(values.filter("label = 0"), "id", "value", self.seed)
+                order = F.xxhash64(F.lit(self.seed), "id")
+                errors = made.orderBy(order, "id").limit(SYNTHETIC_LIMIT).select(F.col("error").alias("value"))
+            model = fit_column_forest(values, errors, seed=self.seed)
+        return list(kept.values()), model
+
     def transform(self, df: DataFrame) -> DataFrame:
         """Boolean mask of the same shape."""
         if self.models is None:
@@ -131,6 +145,3 @@ class CellDetector:
         out.kept, out.related = state["kept"], state["related"]
         return out
 
-
-def column_list(df: DataFrame, key: str) -> Sequence[str]:
-    return [c for c in df.columns if c != key]

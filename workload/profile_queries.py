@@ -218,7 +218,7 @@ def minmax_scale_inverse(spark, sf):
       SELECT priority, row_number() OVER (ORDER BY priority) - 1 AS code FROM (SELECT DISTINCT priority FROM dirty WHERE priority IS NOT NULL)),
     x AS (SELECT row_id, CAST(code AS DOUBLE) AS code FROM dirty LEFT JOIN codes USING (priority))
     SELECT x.row_id, x.code, codes.priority AS decoded FROM x
-    LEFT JOIN codes ON codes.code = greatest(0, least((SELECT max(code) FROM codes), CAST(round_even(x.code + 0.5, 0) AS BIGINT)))""",
+    LEFT JOIN codes ON x.code IS NOT NULL AND codes.code = greatest(0, least((SELECT max(code) FROM codes), CAST(round_even(x.code + 0.5, 0) AS BIGINT)))""",
 )
 def label_encode(spark, sf):
     dirty = fx.priority_dirty(fx.priority_clean(spark, sf))
