@@ -103,11 +103,8 @@ def feature_dictionary(df: DataFrame, column: str) -> DataFrame:
 
 
 def batch_features(df: DataFrame, key: str, column: str) -> DataFrame:
-    """Features of every row, computed once per distinct value."""
-    cells = df.select(name(key), name(column).cast("string").alias("value"))
-    dictionary = feature_dictionary(df, column).withColumnRenamed("value", "dict_value")
-    matched = cells.join(dictionary, F.col("value").eqNullSafe(F.col("dict_value")), "left")
-    return matched.drop("dict_value")
+    """Features of every row in place: cheaper than shipping texts to a dictionary and back."""
+    return df.select(name(key), name(column).cast("string").alias("value"), *cell_features(name(column)))
 
 
 def minmax_stats(df: DataFrame, columns: Sequence[str], shifted: bool = False) -> dict[str, dict[str, float]]:

@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from cellsmith.functions.scalars import name
 from cellsmith.operators.components import connected_components
+from cellsmith.operators.lookup import lookup_join
 from cellsmith.operators.similarity import _squared, _stack, eps_links, split_grid
 from cellsmith.session import checkpointed
 
@@ -97,12 +98,14 @@ def eps_components(points: DataFrame, key: str, eps: float = 0.5, vec: str = "ve
     labelled = firsts.join(found, F.col("id") == F.col("node"), "left").select(
         "_h",
         "vec",
+        "copies",
         F.when(F.col("component").isNotNull(), F.col("component"))
         .when(F.col("copies") > 1, F.col("id"))
         .otherwise(F.lit(-1).cast(firsts.schema["id"].dataType))
         .alias("cluster"),
     )
-    return rows.join(labelled, ["_h", "vec"]).select(F.col("id").alias(key), "cluster")
+    placed = lookup_join(rows.select("id", "_h", "vec"), labelled, ["_h", "vec"], "copies", "inner")
+    return placed.select(F.col("id").alias(key), "cluster")
 
 
 def cluster_means(points: DataFrame, cluster: str, vec: str, weight: str | None = None) -> DataFrame:
@@ -114,7 +117,7 @@ def cluster_means(points: DataFrame, cluster: str, vec: str, weight: str | None
 
 def nearest_to_mean(points: DataFrame, key: str, cluster: str = "cluster", vec: str = "vec", weight: str | None = None) -> DataFrame:
     """Member nearest its cluster mean, least id on a tie."""
-    joined = points.join(cluster_means(points, cluster, vec, weight), cluster)
+    joined = lookup_join(points, cluster_means(points, cluster, vec, weight), [cluster], "_size", "inner")
     squares = F.zip_with(vec, "_mean", lambda a, b: (a - b) * (a - b))
     distance = F.round(F.sqrt(F.aggregate(squares, F.lit(0.0), lambda s, v: s + v)), 9)
     best = F.min(F.struct(distance.alias("distance"), name(key).alias("id")))
@@ -135,19 +138,20 @@ def medoids(points: DataFrame, key: str, cluster: str = "cluster", vec: str = "v
         points.select(F.col(cluster).alias("c"), name(key).alias("id"), F.col(vec).alias("vec"), w.alias("w"))
     )
     dims = len(base.first()["vec"])
-    joined = base.join(cluster_means(base, "c", "vec", "w").withColumnRenamed("_size", "size"), "c")
+    means = cluster_means(base, "c", "vec", "w").withColumn("size", F.col("_size"))
+    joined = lookup_join(base, means, ["c"], "_size", "inner")
     squares = F.zip_with("vec", "_mean", lambda a, b: (a - b) * (a - b))
     joined = joined.withColumn("_d", F.aggregate(squares, F.lit(0.0), lambda s, v: s + v))
     near = joined.groupBy("c", "size").agg(F.min_by("id", F.struct("_d", "id")).alias("id"))
-    pivots = base.join(near, ["c", "id"]).select("c", "size", F.col("id").alias("pid"), F.col("vec").alias("pvec"))
+    pivots = base.join(near, ["c", "id"]).select("c", "size", F.col("size").alias("rows"), F.col("vec").alias("pvec"))
     gap = F.zip_with("vec", "pvec", lambda a, b: (a - b) * (a - b))
     to_pivot = checkpointed(
-        base.join(pivots, "c").select(
+        lookup_join(base, pivots, ["c"], "rows", "inner").select(
             "c", "id", "vec", "w", "size", F.sqrt(F.aggregate(gap, F.lit(0.0), lambda s, v: s + v)).alias("dp")
         )
     )
-    pivot_sum = to_pivot.groupBy("c").agg(F.sum(F.col("w") * F.col("dp")).alias("sp"))
-    alive = to_pivot.join(pivot_sum, "c").filter(
+    pivot_sum = to_pivot.groupBy("c").agg(F.sum(F.col("w") * F.col("dp")).alias("sp"), F.count("*").alias("rows"))
+    alive = lookup_join(to_pivot, pivot_sum, ["c"], "rows", "inner").filter(
         F.col("size") * F.col("dp") - F.col("sp") <= F.col("sp") * (1 + 1e-9) + 1e-9
     )
     left, right, grid = split_grid(

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cellsmith.functions.scalars import name
+from cellsmith.operators.lookup import lookup_join
 
 MISSING = "nan"
 
@@ -142,7 +143,7 @@ def parse_fd(text: str) -> tuple[str, str] | None:
 
 
 def fd_lookup(rows: DataFrame, determinant: Column, dependent: Column, clean: Column | None = None) -> DataFrame:
-    """(fd_key, fd_value): most frequent B per A over clean rows, least on a tie.
+    """(fd_key, fd_value, fd_rows): most frequent B per A over clean rows, least on a tie.
 
     Counted per (A, B) first, so a hot A costs one row per distinct B.
     """
@@ -153,8 +154,17 @@ def fd_lookup(rows: DataFrame, determinant: Column, dependent: Column, clean: Co
         .groupBy("fd_key", "fd_value")
         .agg(F.count("*").alias("n"))
     )
-    best = counts.groupBy("fd_key").agg(F.min(F.struct((-F.col("n")).alias("n"), F.col("fd_value"))).alias("b"))
-    return best.select("fd_key", F.col("b.fd_value").alias("fd_value"))
+    best = counts.groupBy("fd_key").agg(
+        F.min(F.struct((-F.col("n")).alias("n"), F.col("fd_value"))).alias("b"), F.sum("n").alias("fd_rows")
+    )
+    return best.select("fd_key", F.col("b.fd_value").alias("fd_value"), "fd_rows")
+
+
+def with_fd_value(rows: DataFrame, determinant: Column, lookup: DataFrame, value: str = "fd_value") -> DataFrame:
+    """``rows`` with the looked-up value of their determinant, NULL where no clean row shares it."""
+    keyed = rows.withColumn("fd_key", determinant)
+    found = lookup.select("fd_key", F.col("fd_value").alias(value), "fd_rows")
+    return lookup_join(keyed, found, ["fd_key"], "fd_rows").drop("fd_key")
 
 
 def fd_validate(examples: DataFrame, lookup: DataFrame, determinant: str = "key_value") -> DataFrame:
@@ -162,7 +172,7 @@ def fd_validate(examples: DataFrame, lookup: DataFrame, determinant: str = "key_
 
     Examples: (key_value, dirty_value, truth).
     """
-    joined = examples.join(lookup, name(determinant) == F.col("fd_key"), "left")
+    joined = examples.join(lookup.drop("fd_rows"), name(determinant) == F.col("fd_key"), "left")
     predicted = F.coalesce("fd_value", "dirty_value")
     return joined.agg(
         F.count("*").alias("examples"),
@@ -178,7 +188,7 @@ def fd_repair(rows: DataFrame, determinant: str, dependent: str, flag: Column, c
     """
     lookup = fd_lookup(rows, name(determinant), name(dependent), clean)
     wrong = F.coalesce(flag.cast("boolean"), F.lit(False))
-    fixed = rows.filter(wrong).join(lookup, name(determinant) == F.col("fd_key"), "left")
+    fixed = with_fd_value(rows.filter(wrong), name(determinant), lookup)
     repaired = fixed.select(
         *[F.coalesce(F.col("fd_value"), name(c)).alias(c) if c == dependent else name(c) for c in rows.columns]
     )
@@ -239,7 +249,7 @@ def fd_violations(df: DataFrame, key: str, determinants: Sequence[str], dependen
         name(dependent).cast("string").alias("actual"),
     )
     lookup = fd_lookup(rows, F.col("group_key"), F.col("actual"))
-    joined = rows.join(lookup, F.col("group_key") == F.col("fd_key"))
+    joined = with_fd_value(rows, F.col("group_key"), lookup).filter("fd_value is not null")
     return joined.filter(~F.col("actual").eqNullSafe(F.col("fd_value"))).select(
         name(key), "group_key", "actual", F.col("fd_value").alias("expected")
     )

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from cellsmith.functions.scalars import FEATURES, cell_features, hash_bucket, name
+from cellsmith.functions.scalars import cell_features, hash_bucket, name
+from cellsmith.operators.lookup import lookup_join
 from cellsmith.operators.ordering import exact_quantiles
 from cellsmith.operators.similarity import knn_join
 from cellsmith.session import checkpointed
@@ -150,23 +151,19 @@ def score_cells(
 ) -> DataFrame:
     """Cell mask of the whole table: the column's model if there is one, else its rules, else False.
 
-    Values are scored once per distinct text and joined back.
+    Rows are scored in place: features and votes are row-wise, so nothing shuffles.
     """
     columns = [c for c in df.columns if c != key]
     by_model = [c for c in columns if use_model and c in models]
     out = df
     for i, c in enumerate(by_model):
-        values = df.select(name(c).cast("string").alias("value")).distinct()
-        scored = (
-            models[c]
-            .transform(values.select("value", forest_features(F.col("value")).alias("features")))
-            .select(F.col("value").alias(f"_v{i}"), (F.col("prediction") > 0.5).alias(f"_p{i}"))
-        )
-        out = out.join(scored, name(c).cast("string").eqNullSafe(F.col(f"_v{i}")), "left")
+        model = models[c].copy()
+        model.setFeaturesCol(f"_x{i}").setPredictionCol(f"_p{i}").setRawPredictionCol("").setProbabilityCol("")
+        out = model.transform(out.withColumn(f"_x{i}", forest_features(name(c)))).drop(f"_x{i}")
     flags = []
     for c in columns:
         if c in by_model:
-            flags.append(F.coalesce(F.col(f"_p{by_model.index(c)}"), F.lit(False)).alias(c))
+            flags.append((F.col(f"_p{by_model.index(c)}") > 0.5).alias(c))
         elif c in rules:
             flags.append(rule_flag(rules[c]).alias(c))
         else:
@@ -277,16 +274,17 @@ def lof_scores(points: DataFrame, key: str, dims: int, vec: str = "vec", neighbo
             "qid", "iid", F.sqrt("d2").alias("dist")
         )
     )
-    reach = links.groupBy("qid").agg(F.max("dist").alias("kdist"))
-    spread = links.join(reach.select(F.col("qid").alias("iid"), "kdist"), "iid")
+    # A row among many copies is everyone's neighbour, so in-degrees guide the lookups.
+    degree = links.groupBy("iid").agg(F.count("*").alias("links"))
+    reach = links.groupBy(F.col("qid").alias("iid")).agg(F.max("dist").alias("kdist")).join(degree, "iid")
+    spread = lookup_join(links, reach, ["iid"], "links", "inner")
     density = checkpointed(
         spread.groupBy("qid").agg((1.0 / (F.avg(F.greatest("kdist", "dist")) + F.lit(1e-10))).alias("lrd"))
     )
-    around = links.join(density.select(F.col("qid").alias("iid"), F.col("lrd").alias("other")), "iid")
+    others = density.select(F.col("qid").alias("iid"), F.col("lrd").alias("other")).join(degree, "iid")
+    around = lookup_join(links, others, ["iid"], "links", "inner")
     factor = around.groupBy("qid").agg(F.avg("other").alias("mean_other"))
     return factor.join(density, "qid").select(
         F.col("qid").alias(key), (F.col("mean_other") / F.col("lrd")).alias("score")
     )
 
-
-FEATURE_COLUMNS = FEATURES

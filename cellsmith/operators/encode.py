@@ -8,15 +8,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cellsmith.functions.scalars import name
+from cellsmith.operators.lookup import lookup_join
 from cellsmith.operators.ordering import global_rank
 
 CATEGORY_LIMIT = 20
 
 
 def label_dictionary(df: DataFrame, column: str) -> DataFrame:
-    """(value, code): 0-based position of each distinct non-null text."""
-    values = df.select(name(column).cast("string").alias("value")).filter("value is not null").distinct()
-    return global_rank(values, ["value"], "code")
+    """(value, copies, code): 0-based position of each distinct non-null text."""
+    values = df.select(name(column).cast("string").alias("value")).filter("value is not null")
+    return global_rank(values.groupBy("value").agg(F.count("*").alias("copies")), ["value"], "code")
 
 
 def encode_columns(df: DataFrame, columns: Sequence[str], dictionaries: dict[str, DataFrame] | None = None) -> DataFrame:
@@ -24,8 +25,8 @@ def encode_columns(df: DataFrame, columns: Sequence[str], dictionaries: dict[str
     out = df
     for i, column in enumerate(columns):
         dictionary = (dictionaries or {}).get(column) or label_dictionary(df, column)
-        coded = dictionary.select(F.col("value").alias(f"_v{i}"), F.col("code").cast("double").alias(f"_c{i}"))
-        out = out.join(coded, name(column).cast("string") == F.col(f"_v{i}"), "left")
+        coded = dictionary.select(F.col("value").alias(f"_v{i}"), "copies", F.col("code").cast("double").alias(f"_c{i}"))
+        out = lookup_join(out.withColumn(f"_v{i}", name(column).cast("string")), coded, [f"_v{i}"], "copies")
     kept = []
     for c in df.columns:
         kept.append(F.col(f"_c{list(columns).index(c)}").alias(c) if c in columns else name(c))
@@ -39,8 +40,8 @@ def decode_column(df: DataFrame, column: str, dictionary: DataFrame) -> DataFram
         return df.withColumn(column, F.lit(None).cast("string"))
     rounded = F.bround(name(column).cast("double"), 0).cast("bigint")
     code = F.when(rounded.isNotNull(), F.greatest(F.lit(0), F.least(F.lit(size), rounded)))
-    texts = dictionary.select(F.col("value").alias("_text"), F.col("code").alias("_code"))
-    joined = df.withColumn("_at", code).join(texts, F.col("_at") == F.col("_code"), "left")
+    texts = dictionary.select(F.col("value").alias("_text"), F.col("code").cast("bigint").alias("_at"), "copies")
+    joined = lookup_join(df.withColumn("_at", code), texts, ["_at"], "copies")
     return joined.select(*[F.col("_text").alias(c) if c == column else name(c) for c in df.columns])
 
 

@@ -10,7 +10,9 @@ from pyspark.sql.window import Window
 
 from cellsmith.functions.scalars import any_true, hash_bucket, name, null_text, total
 from cellsmith.functions.text import unflagged_json
+from cellsmith.operators.lookup import lookup_join
 from cellsmith.operators.similarity import knn_join
+from cellsmith.session import checkpointed
 from cellsmith.sources.tables import align
 
 EMBED_DIMS = 32
@@ -118,9 +120,10 @@ def zero_and_weight(vec: Column, flags: Sequence[Column], weights: Sequence[floa
 
 def retrieve(queries: DataFrame, index: DataFrame, dims: int, k: int = NEIGHBOURS, digits: int = 9) -> DataFrame:
     """k nearest entries of each query joined to their context columns."""
-    near = knn_join(queries.select("id", "vec"), index.select("id", "vec"), k, dims, digits=digits)
-    extra = index.drop("vec").withColumnRenamed("id", "iid")
-    return near.join(extra, "iid")
+    near = checkpointed(knn_join(queries.select("id", "vec"), index.select("id", "vec"), k, dims, digits=digits))
+    degree = near.groupBy("iid").agg(F.count("*").alias("links"))
+    extra = index.drop("vec").withColumnRenamed("id", "iid").join(degree, "iid")
+    return lookup_join(near, extra, ["iid"], "links", "inner")
 
 
 def rerank(hits: DataFrame, keep: int = KEEP) -> DataFrame:

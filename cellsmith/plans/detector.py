@@ -19,6 +19,7 @@ from cellsmith.operators.cluster import MAX_K, elbow_k, eps_components, hierarch
 from cellsmith.operators.dependency import nmi_pairs, related_columns
 from cellsmith.operators.detect import RULE_THRESHOLD, fit_column_forest, kept_rules, score_cells, synthetic_errors
 from cellsmith.operators.impute import NotFittedError
+from cellsmith.operators.lookup import lookup_join
 from cellsmith.operators.profile import distribution_report
 from cellsmith.operators.providers import LabelProvider
 from cellsmith.session import checkpointed
@@ -105,9 +106,10 @@ class CellDetector:
         values = self.labelled_values(df, column)
         kept: dict[str, str] = {}
         if column in self.rules:
-            labelled = df.join(
-                values.select(F.col("value").alias("_value"), "label"), name(column).cast("string").eqNullSafe(F.col("_value"))
-            )
+            # NULL cells carry the text "nan" here so that they meet their label.
+            found = values.select(F.coalesce("value", F.lit("nan")).alias("_value"), "label", "weight").dropDuplicates(["_value"])
+            keyed = df.withColumn("_value", F.coalesce(name(column).cast("string"), F.lit("nan")))
+            labelled = lookup_join(keyed, found, ["_value"], "weight", "inner")
             kept = kept_rules(labelled, self.rules[column], self.rule_threshold)
         model = None
         if self.use_model:
