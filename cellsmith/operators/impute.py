@@ -16,7 +16,7 @@ from cellsmith.functions.scalars import name
 from cellsmith.session import checkpointed, spread
 from cellsmith.sources.tables import load_state, save_state
 
-LOCAL_PATTERNS = 4096
+LOCAL_CELLS = 4 << 20
 
 
 class NotFittedError(RuntimeError):
@@ -147,7 +147,7 @@ class ChainedRidge:
         targets = [i for g, i in gaps if 0 < g < first["n"]]
         stats = checkpointed(self._patterns(df, means, scales))
         local = None
-        if stats.count() <= LOCAL_PATTERNS:
+        if stats.count() * (d + 1) ** 2 <= LOCAL_CELLS:
             local = [(r["pattern"], self._moment(r)) for r in stats.collect()]
 
         def gather(chain: list, earlier: list, target: int) -> tuple[np.ndarray, np.ndarray]:

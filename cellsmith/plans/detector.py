@@ -107,7 +107,9 @@ class CellDetector:
         kept: dict[str, str] = {}
         if column in self.rules:
             # NULL cells carry the text "nan" here so that they meet their label.
-            found = values.select(F.coalesce("value", F.lit("nan")).alias("_value"), "label", "weight").dropDuplicates(["_value"])
+            found = values.groupBy(F.coalesce("value", F.lit("nan")).alias("_value")).agg(
+                F.max("label").alias("label"), F.sum("weight").alias("weight")
+            )
             keyed = df.withColumn("_value", F.coalesce(name(column).cast("string"), F.lit("nan")))
             labelled = lookup_join(keyed, found, ["_value"], "weight", "inner")
             kept = kept_rules(labelled, self.rules[column], self.rule_threshold)

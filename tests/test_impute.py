@@ -66,7 +66,7 @@ def test_ridge_many_patterns_path_and_partitions(spark, monkeypatch):
     rows = frame(spark, gaps)
     want = values(im.ChainedRidge(COLUMNS).fit_transform(rows))
     assert np.allclose(values(im.ChainedRidge(COLUMNS).fit_transform(rows.repartition(7))), want, atol=1e-8)
-    monkeypatch.setattr(im, "LOCAL_PATTERNS", 0)
+    monkeypatch.setattr(im, "LOCAL_CELLS", 0)
     assert np.allclose(values(im.ChainedRidge(COLUMNS).fit_transform(rows)), want, atol=1e-8)
 
 

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from cellsmith.operators.cluster import eps_components, hierarchical_clusters, knee, medoids, nearest_to_mean, repair_candidates, clean_representatives
 from cellsmith.operators.components import connected_components
 from cellsmith.operators.detect import cut_by_share, isolation_scores, lof_scores
+from cellsmith.operators import fill
 from cellsmith.operators.fill import baseline_correct, column_modes, knn_fill
 from cellsmith.operators.similarity import knn_join
 
@@ -146,7 +147,10 @@ def test_lof_matches_brute_force(spark):
     assert [got[i] for i in range(60)] == pytest.approx(want, rel=1e-6)
 
 
-def test_knn_fill_matches_brute_force(spark):
+@pytest.mark.parametrize("most", [16, 1])
+def test_knn_fill_matches_brute_force(spark, monkeypatch, most):
+    monkeypatch.setattr(fill, "MAX_PATTERNS", most)
+    monkeypatch.setattr(fill, "BLOCK_ROWS", 32)
     rng = np.random.default_rng(13)
     x = np.round(rng.normal(size=(80, 3)), 2)
     x[rng.uniform(size=x.shape) < 0.25] = np.nan
