@@ -40,6 +40,12 @@ def knee(costs: Sequence[float], sensitivity: float = 1.0) -> int:
     return 1
 
 
+def _kmeans(k: int, seed: int, weight: str | None = None) -> KMeans:
+    """The row solver accepts fewer distinct points than k; the block solver fails on them."""
+    model = KMeans(k=k, seed=seed, predictionCol="cluster", solver="row")
+    return model.setWeightCol(weight) if weight else model
+
+
 def _vectors(points: DataFrame, vec: str, weight: str | None) -> DataFrame:
     extra = [F.col(weight).cast("double").alias("weight")] if weight else [F.lit(1.0).alias("weight")]
     return points.select("*", array_to_vector(F.col(vec)).alias("features"), *extra) if weight != "weight" else points.select(
@@ -53,7 +59,7 @@ def elbow_costs(points: DataFrame, vec: str = "vec", weight: str | None = None,
     try:
         top = min(data.limit(max_k).count(), max_k)
         return [
-            float(KMeans(k=k, seed=seed, weightCol="weight").fit(data).summary.trainingCost) if k > 1 else _single_cost(points, vec, weight)
+            float(_kmeans(k, seed, "weight").fit(data).summary.trainingCost) if k > 1 else _single_cost(points, vec, weight)
             for k in range(1, top + 1)
         ]
     finally:
@@ -223,7 +229,7 @@ def repair_candidates(rows: DataFrame, mask: DataFrame, key: str, n: int, vec: s
         flagged.groupBy("pattern", F.col(vec).alias("vec")).agg(F.count("*").cast("double").alias("weight"), F.min(name(key)).alias("id"))
     )
     features = data.select("pattern", "id", "weight", array_to_vector("vec").alias("features"))
-    model = KMeans(k=n, seed=seed, weightCol="weight", predictionCol="cluster").fit(fit_sample(features, "id")) if n > 1 else None
+    model = _kmeans(n, seed, "weight").fit(fit_sample(features, "id")) if n > 1 else None
     placed = model.transform(features) if model else features.withColumn("cluster", F.lit(0))
     patterns = checkpointed(placed.groupBy("cluster", "pattern").agg(F.min("id").alias("id")))
     covered: set[int] = set()
@@ -254,7 +260,7 @@ def clean_representatives(rows: DataFrame, mask: DataFrame, key: str, n: int, ve
     features = data.select(name(key), array_to_vector("vec").alias("features"))
     k = min(n, held)
     placed = (
-        KMeans(k=k, seed=seed, predictionCol="cluster").fit(fit_sample(features, key)).transform(features)
+        _kmeans(k, seed).fit(fit_sample(features, key)).transform(features)
         if k > 1
         else features.withColumn("cluster", F.lit(0))
     )

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cellsmith.operators.cluster import eps_components, hierarchical_clusters, knee, medoids, nearest_to_mean, repair_candidates, clean_representatives
+from cellsmith.operators.cluster import elbow_costs, eps_components, hierarchical_clusters, knee, medoids, nearest_to_mean, repair_candidates, clean_representatives
 from cellsmith.operators.components import connected_components
 from cellsmith.operators.detect import cut_by_share, isolation_scores, lof_scores
 from cellsmith.operators import fill
@@ -188,3 +188,12 @@ def test_repair_candidates_cover_columns(spark):
     chosen = [r["id"] for r in repair_candidates(vectors, mask, "id", 2).orderBy("position").collect()]
     assert len(chosen) == 2 and set().union(*[{k for k, v in enumerate(flags[i]) if v} for i in chosen]) == {0, 1, 2}
     assert {r["id"] for r in clean_representatives(vectors, mask, "id", 3).collect()} == {4}
+
+
+def test_fewer_distinct_points_than_clusters(spark):
+    x = np.array([[0.0, 1.0]] * 30 + [[1.0, 0.0]] * 30)
+    mask = spark.range(60).select("id", (F.col("id") < 30).alias("a"), (F.col("id") >= 30).alias("b"))
+    assert {r["id"] for r in repair_candidates(frame(spark, x), mask, "id", 10).collect()} == {0, 30}
+    none = mask.select("id", F.lit(False).alias("a"), F.lit(False).alias("b"))
+    assert 1 <= clean_representatives(frame(spark, x), none, "id", 10).count() <= 10
+    assert len(elbow_costs(frame(spark, x))) == 10

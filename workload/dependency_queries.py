@@ -100,22 +100,20 @@ def informative_columns_query(spark, sf):
 
 @query(
     "fd_parse",
-    """WITH r AS (SELECT n_nationkey, CASE n_nationkey % 3 WHEN 0 THEN n_name || ' → ' || r_name WHEN 1 THEN 'None → ' || r_name
-      ELSE n_name || ' -> ' || r_name END AS fd FROM nation JOIN region ON n_regionkey = r_regionkey),
+    """WITH r AS (SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN c_name || ' → ' || c_mktsegment WHEN 1 THEN 'None → ' || c_mktsegment
+      ELSE c_name || ' -> ' || c_mktsegment END AS fd FROM customer),
     p AS (SELECT *, nullif(regexp_extract(fd, '^(.+?)\\s*→\\s*(.+)$', 1), '') AS a, nullif(regexp_extract(fd, '^(.+?)\\s*→\\s*(.+)$', 2), '') AS b FROM r)
-    SELECT n_nationkey, fd, CASE WHEN a <> 'None' THEN a END AS determinant, CASE WHEN a <> 'None' THEN b END AS dependent,
+    SELECT c_custkey, fd, CASE WHEN a <> 'None' THEN a END AS determinant, CASE WHEN a <> 'None' THEN b END AS dependent,
       coalesce(a <> 'None', false) AS accepted FROM p""",
 )
 def fd_parse(spark, sf):
-    nation, region = table(spark, sf, "nation"), table(spark, sf, "region")
-    step = F.col("n_nationkey") % 3
+    step = F.col("c_custkey") % 3
     fd = (
-        F.when(step == 0, F.concat("n_name", F.lit(" → "), "r_name"))
-        .when(step == 1, F.concat(F.lit("None → "), "r_name"))
-        .otherwise(F.concat("n_name", F.lit(" -> "), "r_name"))
+        F.when(step == 0, F.concat("c_name", F.lit(" → "), "c_mktsegment"))
+        .when(step == 1, F.concat(F.lit("None → "), "c_mktsegment"))
+        .otherwise(F.concat("c_name", F.lit(" -> "), "c_mktsegment"))
     )
-    rules = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", fd.alias("fd"))
-    return parse_fds(rules)
+    return parse_fds(table(spark, sf, "customer").select("c_custkey", fd.alias("fd")))
 
 
 _LOOKUP_SQL = """
