@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cellsmith.functions.scalars import name, null_text
+from cellsmith.functions.scalars import any_true, name, null_text
 from cellsmith.sources.tables import align
 
 
@@ -38,10 +38,11 @@ def flagged_column_list(mask: DataFrame, key: str) -> list[str]:
 def error_report(df: DataFrame, mask: DataFrame, key: str) -> DataFrame:
     """(row id, col, value) of every flagged cell, with the overall count.
 
-    Rows without a flag drop out before cells are spread.
+    Mask rows without a flag drop out before the join.
     """
     columns = [c for c in df.columns if c != key and c in mask.columns]
-    joined = align({"d": df, "m": mask}, key, {"d": columns, "m": columns})
+    marked = mask.filter(any_true([name(c) for c in columns]))
+    joined = align({"m": marked, "d": df}, key, {"d": columns, "m": columns})
     entries = F.filter(
         F.array(
             *[
@@ -64,8 +65,6 @@ def error_total(report: DataFrame) -> DataFrame:
 
 def row_any(mask: DataFrame, key: str) -> DataFrame:
     """Row label: 1 when any cell of the row is flagged."""
-    from cellsmith.functions.scalars import any_true
-
     return mask.select(name(key), any_true([name(c) for c in mask.columns if c != key]).cast("int").alias("label"))
 
 

@@ -216,28 +216,28 @@ class ChainedRidge:
         means, scales = np.array(state["means"]), np.array(state["scales"])
         chain = [(int(t), float(i), list(c)) for t, i, c in state["chain"]]
         columns = self.columns
-        rest = [c for c in df.columns if c not in columns]
-
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            known: dict[str, np.ndarray] = {}
-            for pdf in batches:
-                x = pdf[columns].to_numpy(dtype=float)
-                seen = ~np.isnan(x)
-                z = np.where(seen, (x - means) / scales, 0.0)
-                code = np.array(["".join("1" if b else "0" for b in row) for row in seen]) if len(x) else np.array([])
-                out = x.copy()
-                for pattern in np.unique(code):
-                    if "0" not in pattern:
-                        continue
-                    rows = np.flatnonzero(code == pattern)
-                    a = known.setdefault(pattern, _replay(pattern, chain))
-                    full = (a[:, 0] + z[rows] @ a[:, 1:].T) * scales + means
-                    out[rows] = np.where(seen[rows], x[rows], full)
-                yield pd.concat([pdf[rest].reset_index(drop=True), pd.DataFrame(out, columns=columns)], axis=1)
-
-        schema = T.StructType([*[df.schema[c] for c in rest], *[T.StructField(c, T.DoubleType()) for c in columns]])
-        typed = df.select(*[name(c) for c in rest], *[name(c).cast("double").alias(c) for c in columns])
-        return typed.mapInPandas(run, schema).select(*[name(c) for c in df.columns])
+
+        @F.pandas_udf(T.StructType([T.StructField(c, T.DoubleType()) for c in columns]))
+        def fill(*cells: pd.Series) -> pd.DataFrame:
+            x = np.column_stack([c.to_numpy(dtype=float) for c in cells])
+            seen = ~np.isnan(x)
+            z = np.where(seen, (x - means) / scales, 0.0)
+            out = x.copy()
+            kinds, which = np.unique(np.packbits(seen, axis=1), axis=0, return_inverse=True)
+            which = which.reshape(-1)
+            for kind in range(len(kinds)):
+                rows = np.flatnonzero(which == kind)
+                bits = seen[rows[0]]
+                if bits.all():
+                    continue
+                a = _replay("".join("1" if b else "0" for b in bits), chain)
+                full = (a[:, 0] + z[rows] @ a[:, 1:].T) * scales + means
+                out[rows] = np.where(seen[rows], x[rows], full)
+            return pd.DataFrame(out, columns=columns)
+
+        # Only the numbers go through Python; the other columns stay where they are.
+        filled = df.withColumn("_filled", fill(*[name(c).cast("double") for c in columns]))
+        return filled.select(*[F.col("_filled").getField(c).alias(c) if c in columns else name(c) for c in df.columns])
 
     def fit_transform(self, df: DataFrame) -> DataFrame:
         return self.fit(df).transform(df)

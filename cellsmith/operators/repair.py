@@ -270,7 +270,8 @@ def apply_value_function(df: DataFrame, column: str, flag: Column, expression: s
 
 def residual_cells(dirty: DataFrame, corrected: DataFrame, mask: DataFrame, key: str) -> DataFrame:
     """(row id, col, dirty) of flagged cells whose value no step has changed."""
-    joined = align({"d": dirty, "c": corrected, "m": mask}, key)
+    marked = mask.filter(any_true([name(c) for c in mask.columns if c != key]))
+    joined = align({"m": marked, "d": dirty, "c": corrected}, key)
     columns = joined.schema["d"].dataType.names
     entries = F.filter(
         F.array(
