@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cellsmith.functions.scalars import any_true, hash_bucket, name, null_text, total
+from cellsmith.functions.scalars import any_true, name, null_text, total
 from cellsmith.functions.text import unflagged_json
 from cellsmith.operators.lookup import lookup_join
 from cellsmith.operators.similarity import knn_join
@@ -18,6 +18,8 @@ from cellsmith.sources.tables import align
 EMBED_DIMS = 32
 NEIGHBOURS = 30
 KEEP = 3
+GRAM_MIX = (7919, 104729, 1299709)
+GRAM_MODULUS = 1_000_003
 
 # Texts that stand for a missing cell, and the error type names.
 NULL_TOKENS = ["", "null", "nan", "n/a", "na", "none", "unknown"]
@@ -34,22 +36,30 @@ def _let(value: Column, body) -> Column:
 
 
 def cell_embedding(value: Column, dims: int = EMBED_DIMS) -> Column:
-    """L2-normalised counts of hashed character trigrams of ``^text$``; NULL reads ``null``."""
+    """L2-normalised counts of hashed character trigrams of ``^text$``; NULL reads ``null``.
+
+    A trigram's slot is a fixed linear mix of its three code points: integer work only.
+    """
     text = F.concat(F.lit("^"), null_text(value), F.lit("$"))
 
-    def hashed(t: Column) -> Column:
-        spots = F.sequence(F.lit(1), F.greatest(F.length(t) - 2, F.lit(1)))
-        return F.transform(spots, lambda i: hash_bucket(F.substring(t, i, F.lit(3)), dims))
+    def coded(t: Column) -> Column:
+        return F.transform(F.sequence(F.lit(1), F.length(t)), lambda i: F.ascii(F.substring(t, i, F.lit(1))).cast("bigint"))
+
+    def hashed(codes: Column) -> Column:
+        def slot(i: Column) -> Column:
+            parts = [F.coalesce(F.get(codes, i + at), F.lit(0)) * F.lit(m) for at, m in enumerate(GRAM_MIX)]
+            return (parts[0] + parts[1] + parts[2]) % F.lit(GRAM_MODULUS) % F.lit(dims)
+
+        return F.transform(F.sequence(F.lit(0), F.greatest(F.size(codes) - 3, F.lit(0))), slot)
 
-    def counted(buckets: Column) -> Column:
-        slots = F.sequence(F.lit(0), F.lit(dims - 1))
-        return F.transform(slots, lambda d: F.size(F.filter(buckets, lambda b: b == d)).cast("double"))
+    def counted(slots: Column) -> Column:
+        return F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda d: F.size(F.filter(slots, lambda b: b == d)).cast("double"))
 
     def normalised(counts: Column) -> Column:
         length = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda s, v: s + v * v))
         return _let(length, lambda n: F.transform(counts, lambda v: v / n))
 
-    return _let(_let(_let(text, hashed), counted), normalised)
+    return _let(_let(_let(_let(text, coded), hashed), counted), normalised)
 
 
 def _times(vec: Column, factor: Column) -> Column:

@@ -177,7 +177,7 @@ _GRAM_DIMS = 16
     "cell_embeddings",
     f"""WITH {fx.TYPO_SQL}, vals AS (SELECT DISTINCT name AS value FROM dirty UNION SELECT DISTINCT brand FROM dirty),
     t AS (SELECT value, '^' || value || '$' AS s FROM vals), g AS (SELECT value, substr(s, CAST(i AS INTEGER), 3) AS gram FROM t, range(1, 200) r(i) WHERE i <= greatest(length(s) - 2, 1)),
-    b AS (SELECT value, {sql_bucket('gram', _GRAM_DIMS)} AS slot, count(*) AS n FROM g GROUP BY 1, 2)
+    b AS (SELECT value, (unicode(substr(gram, 1, 1)) * 7919 + unicode(substr(gram, 2, 1)) * 104729 + unicode(substr(gram, 3, 1)) * 1299709) % 1000003 % {_GRAM_DIMS} AS slot, count(*) AS n FROM g GROUP BY 1, 2)
     SELECT value, CAST(slot AS INTEGER) AS slot, round(n / sqrt(sum(n * n) OVER (PARTITION BY value)), 6) AS weight FROM b""",
 )
 def cell_embeddings(spark, sf):
