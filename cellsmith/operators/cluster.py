@@ -19,7 +19,7 @@ from cellsmith.operators.similarity import _squared, _stack, eps_links, split_gr
 from cellsmith.session import checkpointed
 
 MAX_K = 10
-FIT_ROWS = 50_000
+FIT_ROWS = 10_000
 
 
 def knee(costs: Sequence[float], sensitivity: float = 1.0) -> int:
