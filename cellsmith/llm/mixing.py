@@ -69,7 +69,7 @@ def solve_exponent(sources: DataFrame, mix: Mix) -> float:
             low, high = seen[k - 1]["a"], seen[k]["a"]
         return low
 
-    exponent = 1.0
+    exponent = 1.0 if mix.repeats is None else 0.0
     if mix.entropy is not None:
         exponent = search(lambda r: r["entropy"] >= mix.entropy * log(r["n"]) - 1e-12)
     if mix.repeats is not None:
