@@ -52,6 +52,11 @@ def zero_if_missing(column: Column) -> Column:
     return F.coalesce(F.nanvl(column.cast("double"), F.lit(0.0)), F.lit(0.0))
 
 
+def number_or_null(value: Column) -> Column:
+    """The cell as a double; NaN counts as missing and becomes NULL."""
+    return F.nanvl(value.cast("double"), F.lit(None).cast("double"))
+
+
 def mask_flag(column: Column) -> Column:
     """Mask literal to boolean; an unknown literal raises instead of turning into a flag."""
     text = F.lower(F.trim(column.cast("string")))

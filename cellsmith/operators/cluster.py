@@ -19,7 +19,6 @@ from cellsmith.operators.similarity import _squared, _stack, eps_links, split_gr
 from cellsmith.session import checkpointed
 
 MAX_K = 10
-FIT_ROWS = 10_000
 
 
 def knee(costs: Sequence[float], sensitivity: float = 1.0) -> int:
@@ -53,6 +52,12 @@ def _vectors(points: DataFrame, vec: str, weight: str | None) -> DataFrame:
     )
 
 
+def _dims(points: DataFrame, vec: str) -> int:
+    """Length of the vectors; 0 for an empty table."""
+    row = points.select(vec).first()
+    return len(row[0]) if row else 0
+
+
 def elbow_costs(points: DataFrame, vec: str = "vec", weight: str | None = None, max_k: int = MAX_K, seed: int = 42) -> list[float]:
     """k-means inertia for k = 1..min(n, max_k) over weighted distinct points."""
     data = _vectors(points, vec, weight).select("features", "weight").persist()
@@ -67,7 +72,9 @@ def elbow_costs(points: DataFrame, vec: str = "vec", weight: str | None = None,
 
 
 def _single_cost(points: DataFrame, vec: str, weight: str | None) -> float:
-    dims = len(points.select(vec).first()[0])
+    dims = _dims(points, vec)
+    if not dims:
+        return 0.0
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
     parts = []
     for i in range(dims):
@@ -84,7 +91,7 @@ def elbow_k(points: DataFrame, vec: str = "vec", weight: str | None = None, max_
 def hierarchical_clusters(points: DataFrame, k: int, vec: str = "vec", weight: str | None = None, seed: int = 42) -> DataFrame:
     """Top-down hierarchical clusters over weighted points; adds ``cluster``."""
     data = _vectors(points, vec, weight)
-    if k <= 1:
+    if k <= 1 or points.isEmpty():
         return points.withColumn("cluster", F.lit(0))
     model = BisectingKMeans(k=k, seed=seed, weightCol="weight", predictionCol="cluster").fit(data)
     return model.transform(data).select(*points.columns, "cluster")
@@ -99,7 +106,9 @@ def eps_components(points: DataFrame, key: str, eps: float = 0.5, vec: str = "ve
     copies = F.col(weight) if weight else F.lit(1)
     rows = points.select(name(key).alias("id"), F.col(vec).alias("vec"), F.xxhash64(F.col(vec)).alias("_h"), copies.alias("w"))
     firsts = checkpointed(rows.groupBy("_h", "vec").agg(F.min("id").alias("id"), F.sum("w").alias("copies")))
-    dims = len(firsts.first()["vec"])
+    dims = _dims(firsts, "vec")
+    if not dims:
+        return rows.select(F.col("id").alias(key), F.col("id").alias("cluster"))
     found = connected_components(eps_links(firsts.select("id", "vec"), eps, dims))
     labelled = firsts.join(found, F.col("id") == F.col("node"), "left").select(
         "_h",
@@ -115,9 +124,9 @@ def eps_components(points: DataFrame, key: str, eps: float = 0.5, vec: str = "ve
 
 
 def cluster_means(points: DataFrame, cluster: str, vec: str, weight: str | None = None) -> DataFrame:
-    dims = len(points.select(vec).first()[0])
+    dims = _dims(points, vec)
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
-    mean = F.array(*[F.sum(w * F.col(vec)[i]) / F.sum(w) for i in range(dims)])
+    mean = F.array(*[F.sum(w * F.col(vec)[i]) / F.sum(w) for i in range(dims)]).cast("array<double>")
     return points.groupBy(cluster).agg(mean.alias("_mean"), F.sum(w).alias("_size"))
 
 
@@ -143,7 +152,7 @@ def medoids(points: DataFrame, key: str, cluster: str = "cluster", vec: str = "v
     base = checkpointed(
         points.select(F.col(cluster).alias("c"), name(key).alias("id"), F.col(vec).alias("vec"), w.alias("w"))
     )
-    dims = len(base.first()["vec"])
+    dims = _dims(base, "vec")
     means = cluster_means(base, "c", "vec", "w").withColumn("size", F.col("_size"))
     joined = lookup_join(base, means, ["c"], "_size", "inner")
     squares = F.zip_with("vec", "_mean", lambda a, b: (a - b) * (a - b))
@@ -208,13 +217,6 @@ def propagate_labels(members: DataFrame, representatives: DataFrame, labels: Dat
     return members.join(marked, cluster).select(name(key), cluster, "label")
 
 
-def fit_sample(rows: DataFrame, key: str, limit: int = FIT_ROWS) -> DataFrame:
-    """Rows that place the k-means centres, as mini-batches would: a seeded sample. Every row is still assigned."""
-    from cellsmith.operators.impute import seeded_sample
-
-    return seeded_sample(rows, key, limit, seed=42)
-
-
 def repair_candidates(rows: DataFrame, mask: DataFrame, key: str, n: int, vec: str = "vec", seed: int = 42) -> DataFrame:
     """Rows to hand to a human: cluster the flagged rows, then take from each cluster, in order,
 
@@ -229,7 +231,7 @@ def repair_candidates(rows: DataFrame, mask: DataFrame, key: str, n: int, vec: s
         flagged.groupBy("pattern", F.col(vec).alias("vec")).agg(F.count("*").cast("double").alias("weight"), F.min(name(key)).alias("id"))
     )
     features = data.select("pattern", "id", "weight", array_to_vector("vec").alias("features"))
-    model = _kmeans(n, seed, "weight").fit(fit_sample(features, "id")) if n > 1 else None
+    model = _kmeans(n, seed, "weight").fit(features) if n > 1 else None
     placed = model.transform(features) if model else features.withColumn("cluster", F.lit(0))
     patterns = checkpointed(placed.groupBy("cluster", "pattern").agg(F.min("id").alias("id")))
     covered: set[int] = set()
@@ -260,7 +262,7 @@ def clean_representatives(rows: DataFrame, mask: DataFrame, key: str, n: int, ve
     features = data.select(name(key), array_to_vector("vec").alias("features"))
     k = min(n, held)
     placed = (
-        _kmeans(k, seed).fit(fit_sample(features, key)).transform(features)
+        _kmeans(k, seed).fit(features).transform(features)
         if k > 1
         else features.withColumn("cluster", F.lit(0))
     )

@@ -115,16 +115,21 @@ def function_mask(df: DataFrame, key: str, column: str, rules: Sequence[Callable
     return df.mapInPandas(run, T.StructType([df.schema[key], T.StructField(column, T.BooleanType())]))
 
 
+#: Deepest tree that Spark grows.
+FULL_DEPTH = 30
+
+
 def forest_features(value: Column) -> Column:
     return array_to_vector(F.array(*cell_features(value)))
 
 
 def fit_column_forest(
-    labelled: DataFrame, errors: DataFrame | None = None, trees: int = 50, seed: int = 42
+    labelled: DataFrame, errors: DataFrame | None = None, trees: int = 50, depth: int = FULL_DEPTH, seed: int = 42
 ) -> RandomForestClassificationModel | None:
     """Forest over cell features. labelled: (value, label[, weight]); errors: (value), all wrong.
 
     Equal (value, label) rows train as one weighted row. None unless both classes occur.
+    ``depth``: deepest level of a tree; the default is Spark's limit, so trees grow until leaves are pure.
     """
     weight = F.col("weight") if "weight" in labelled.columns else F.lit(1.0)
     train = labelled.select("value", F.col("label").cast("double").alias("label"), weight.cast("double").alias("weight"))
@@ -136,7 +141,7 @@ def fit_column_forest(
         if data.select("label").distinct().count() < 2:
             return None
         return RandomForestClassifier(
-            numTrees=trees, maxDepth=10, seed=seed, weightCol="weight", featuresCol="features", labelCol="label"
+            numTrees=trees, maxDepth=depth, seed=seed, weightCol="weight", featuresCol="features", labelCol="label"
         ).fit(data)
     finally:
         data.unpersist()

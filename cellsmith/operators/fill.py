@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from cellsmith.functions.scalars import name, total
+from cellsmith.functions.scalars import name, number_or_null, total
 from cellsmith.operators.encode import decode_column, encode_columns, label_dictionary
 from cellsmith.operators.lookup import lookup_join
 from cellsmith.operators.similarity import BLOCK_ROWS, knn_join, split_grid
@@ -62,7 +62,7 @@ def mode_fill(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def knn_fill(df: DataFrame, key: str, columns: Sequence[str], k: int = 5) -> DataFrame:
-    """Fill NULLs by the mean of the k nearest donors.
+    """Fill NULL and NaN by the mean of the k nearest donors.
 
     Distance = sqrt(d / shared * sum of squared gaps) over the coordinates both
     rows have; donors must hold the target cell; no donor gives the column mean.
@@ -71,7 +71,7 @@ def knn_fill(df: DataFrame, key: str, columns: Sequence[str], k: int = 5) -> Dat
     """
     columns = list(columns)
     d = len(columns)
-    number = [name(c).cast("double") for c in columns]
+    number = [number_or_null(name(c)) for c in columns]
     pattern = F.concat(*[v.isNotNull().cast("int").cast("string") for v in number])
     rows = df.select(name(key).alias("id"), F.array(*number).alias("x"), pattern.alias("pattern"))
     means = df.agg(*[F.avg(v).alias(f"m{i}") for i, v in enumerate(number)]).first()
@@ -91,7 +91,7 @@ def knn_fill(df: DataFrame, key: str, columns: Sequence[str], k: int = 5) -> Dat
     spot = {c: i for i, c in enumerate(columns)}
     return joined.select(
         *[
-            F.coalesce(name(c).cast("double"), F.col(f"_fill{spot[c]}"), F.lit(means[spot[c]])).alias(c)
+            F.coalesce(number[spot[c]], F.col(f"_fill{spot[c]}"), F.lit(means[spot[c]])).alias(c)
             if c in spot
             else name(c)
             for c in df.columns

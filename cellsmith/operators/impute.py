@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cellsmith.functions.scalars import name
+from cellsmith.functions.scalars import name, number_or_null
 from cellsmith.session import checkpointed, spread
 from cellsmith.sources.tables import load_state, save_state
 
@@ -28,7 +28,7 @@ def blend(observed: DataFrame, generated: DataFrame, key: str, columns: Sequence
     new = generated.select(name(key), *[name(c).alias(f"_g_{c}") for c in columns])
     joined = observed.join(new, key, "left")
     return joined.select(
-        *[F.coalesce(name(c).cast("double"), name(f"_g_{c}")).alias(c) if c in columns else name(c) for c in observed.columns]
+        *[F.coalesce(number_or_null(name(c)), name(f"_g_{c}")).alias(c) if c in columns else name(c) for c in observed.columns]
     )
 
 
@@ -113,7 +113,7 @@ class ChainedRidge:
 
     def _patterns(self, df: DataFrame, means: list[float], scales: list[float]) -> DataFrame:
         d = len(self.columns)
-        cells = [name(c).cast("double") for c in self.columns]
+        cells = [number_or_null(name(c)) for c in self.columns]
         pattern = F.concat(*[c.isNotNull().cast("int").cast("string") for c in cells])
         z = [F.coalesce((c - F.lit(m)) / F.lit(s), F.lit(0.0)) for c, m, s in zip(cells, means, scales)]
         flat = df.select(pattern.alias("pattern"), *[v.alias(f"z{i}") for i, v in enumerate(z)])
@@ -133,7 +133,7 @@ class ChainedRidge:
 
     def fit(self, df: DataFrame) -> ChainedRidge:
         d = len(self.columns)
-        cells = [name(c).cast("double") for c in self.columns]
+        cells = [number_or_null(name(c)) for c in self.columns]
         first = df.agg(
             F.count("*").alias("n"),
             *[F.avg(c).alias(f"m{i}") for i, c in enumerate(cells)],
@@ -264,8 +264,8 @@ class ChainedForest:
         self.steps: list[tuple[int, RandomForestRegressionModel]] = []
 
     def _start(self, df: DataFrame) -> DataFrame:
-        gaps = [name(c).isNull().alias(f"_m{i}") for i, c in enumerate(self.columns)]
-        cells = [F.coalesce(name(c).cast("double"), F.lit(m)).alias(f"_x{i}") for i, (c, m) in enumerate(zip(self.columns, self.means))]
+        gaps = [number_or_null(name(c)).isNull().alias(f"_m{i}") for i, c in enumerate(self.columns)]
+        cells = [F.coalesce(number_or_null(name(c)), F.lit(m)).alias(f"_x{i}") for i, (c, m) in enumerate(zip(self.columns, self.means))]
         return df.select("*", *gaps, *cells)
 
     def _step(self, df: DataFrame, target: int, model: RandomForestRegressionModel) -> DataFrame:
@@ -281,7 +281,7 @@ class ChainedForest:
 
     def fit(self, df: DataFrame) -> ChainedForest:
         d = len(self.columns)
-        cells = [name(c).cast("double") for c in self.columns]
+        cells = [number_or_null(name(c)) for c in self.columns]
         first = df.agg(
             F.count("*").alias("n"),
             *[F.avg(c).alias(f"m{i}") for i, c in enumerate(cells)],

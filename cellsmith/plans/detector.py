@@ -25,10 +25,10 @@ from cellsmith.operators.providers import LabelProvider
 from cellsmith.session import checkpointed
 from cellsmith.sources.tables import load_state, save_state
 
-SYNTHETIC_LIMIT = 20
-
 
 class CellDetector:
+    """``synthetic_errors_per_column``: made-up errors that join the labelled values of a column when its forest is fitted."""
+
     def __init__(
         self,
         key: str,
@@ -42,6 +42,7 @@ class CellDetector:
         rule_threshold: float = RULE_THRESHOLD,
         eps: float = 0.5,
         max_k: int = MAX_K,
+        synthetic_errors_per_column: int = 20,
         parallelism: int = 4,
         seed: int = 42,
     ):
@@ -51,7 +52,7 @@ class CellDetector:
         self.cluster, self.use_model, self.related_top = cluster, use_model, related_top
         self.with_distribution, self.with_errors = with_distribution, with_errors
         self.rule_threshold, self.eps, self.max_k, self.seed = rule_threshold, eps, max_k, seed
-        self.parallelism = parallelism
+        self.parallelism, self.synthetic_errors_per_column = parallelism, synthetic_errors_per_column
         self.models: dict[str, RandomForestClassificationModel] | None = None
         self.kept: dict[str, list[str]] = {}
         self.related: dict[str, list[str]] = {}
@@ -119,7 +120,7 @@ class CellDetector:
             if self.with_errors:
                 made = synthetic_errors(values.filter("label = 0"), "id", "value", self.seed)
                 order = F.xxhash64(F.lit(self.seed), "id")
-                errors = made.orderBy(order, "id").limit(SYNTHETIC_LIMIT).select(F.col("error").alias("value"))
+                errors = made.orderBy(order, "id").limit(self.synthetic_errors_per_column).select(F.col("error").alias("value"))
             model = fit_column_forest(values, errors, seed=self.seed)
         return list(kept.values()), model
 

@@ -17,6 +17,7 @@ def build_session(app: str = "cellsmith", master: str | None = None, **conf: str
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.ui.enabled": "false",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     }
     for key, value in {**defaults, **conf}.items():
         builder = builder.config(key, value)
@@ -44,6 +45,5 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Use every core for repeated work on an input of few files; a no-op when partitions already cover the cores."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    """As many partitions as cores, for work that is repeated on an input of few files."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)

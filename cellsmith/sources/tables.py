@@ -5,24 +5,31 @@ from __future__ import annotations
 import json
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cellsmith.functions.scalars import any_true, mask_flag, name, null_text
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
-    """CSV with header. Pass a schema for large inputs; inference costs one more scan."""
-    reader = spark.read.option("header", True).option("quote", '"').option("escape", '"').option("multiLine", True)
+def _csv(spark: SparkSession, multi_line: bool) -> DataFrameReader:
+    return spark.read.option("header", True).option("quote", '"').option("escape", '"').option("multiLine", multi_line)
+
+
+def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None, multi_line: bool = False) -> DataFrame:
+    """CSV with header. Pass a schema for large inputs; inference costs one more scan.
+
+    ``multi_line``: cells may hold line breaks. Such a file cannot be split and is read by one task.
+    """
+    reader = _csv(spark, multi_line)
     if schema is None:
         return reader.option("inferSchema", True).csv(path)
     return reader.schema(schema).csv(path)
 
 
-def read_csv_text(spark: SparkSession, path: str) -> DataFrame:
+def read_csv_text(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
     """CSV as all text with NULL written ``null``."""
-    raw = spark.read.option("header", True).option("quote", '"').option("escape", '"').option("multiLine", True).csv(path)
+    raw = _csv(spark, multi_line).csv(path)
     return raw.select(*[null_text(name(c)).alias(c) for c in raw.columns])
 
 

@@ -197,3 +197,10 @@ def test_fewer_distinct_points_than_clusters(spark):
     none = mask.select("id", F.lit(False).alias("a"), F.lit(False).alias("b"))
     assert 1 <= clean_representatives(frame(spark, x), none, "id", 10).count() <= 10
     assert len(elbow_costs(frame(spark, x))) == 10
+
+
+def test_empty_points(spark):
+    none = frame(spark, np.empty((0, 2)))
+    assert eps_components(none, "id").collect() == []
+    clustered = hierarchical_clusters(none, 3)
+    assert nearest_to_mean(clustered, "id").collect() == [] and medoids(clustered, "id").collect() == []

@@ -20,6 +20,20 @@ def test_csv_round_trip(spark, tmp_path):
     assert column_kinds(typed) == {"id": "Numeric", "beer-name": "Categorical", "ounces": "Categorical"}
 
 
+def test_csv_splits(spark, tmp_path):
+    """A file is read by several tasks unless cells may hold line breaks."""
+    path = str(tmp_path / "one.csv")
+    with open(path, "w") as f:
+        f.write("id,text\n" + "".join(f"{i},some text of row {i}\n" for i in range(20_000)))
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "100k")
+    try:
+        assert read_csv_text(spark, path).rdd.getNumPartitions() > 3 and read_csv_text(spark, path).count() == 20_000
+        assert read_csv_text(spark, path, multi_line=True).rdd.getNumPartitions() == 1
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+
+
 def test_state_round_trip(spark, tmp_path):
     save_state(spark, {"a": [1.5, None], "b": {"x": "y\nz"}}, str(tmp_path / "s"))
     assert load_state(spark, str(tmp_path / "s")) == {"a": [1.5, None], "b": {"x": "y\nz"}}
