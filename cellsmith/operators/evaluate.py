@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cellsmith.functions.scalars import minmax_stats, name, plain_text, scaled, total, trimmed_text
+from cellsmith.functions.scalars import any_true, minmax_stats, name, plain_text, scaled, total, trimmed_text
 from cellsmith.sources.tables import align, common_columns
 
 
@@ -32,7 +32,9 @@ def masked_rmse_mae(truth: DataFrame, imputed: DataFrame, mask: DataFrame, key:
     expected = set(truth.columns)
     if expected != set(imputed.columns) or expected != set(mask.columns):
         raise ValueError("truth, imputed and mask must have the same columns")
-    joined = align({"t": truth, "p": imputed, "m": mask}, key)
+    # Rows that are wholly observed add nothing; they leave before the join.
+    gappy = mask.filter(any_true([name(c).cast("int") == 0 for c in mask.columns if c != key]))
+    joined = align({"t": truth, "p": imputed, "m": gappy}, key)
     columns = joined.schema["t"].dataType.names
 
     def gap(c: str) -> Column:

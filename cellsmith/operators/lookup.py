@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from cellsmith.functions.scalars import name
 from cellsmith.session import checkpointed
@@ -26,7 +27,7 @@ def lookup_join(rows: DataFrame, lookup: DataFrame, keys: Sequence[str], weight:
     """``rows`` with the lookup's other columns added; ``weight`` = rows each key stands for, dropped from the result.
 
     A lookup of checked size is broadcast and ``rows`` never shuffles. Beyond that
-    the HOT_KEYS heaviest keys are broadcast and only the remaining keys meet by
+    the HOT_KEYS heaviest keys, as far as their content fits BROADCAST_BYTES, are broadcast and only the remaining keys meet by
     shuffle; rows already served are spread evenly by a salt that matches nothing.
     """
     keys = list(keys)
@@ -34,7 +35,10 @@ def lookup_join(rows: DataFrame, lookup: DataFrame, keys: Sequence[str], weight:
     lookup = checkpointed(lookup)
     if _small(lookup):
         return rows.join(F.broadcast(lookup.drop(weight)), keys, how)
-    hot = lookup.orderBy(F.desc(weight), *keys).limit(HOT_KEYS)
+    heaviest = lookup.orderBy(F.desc(weight), *keys).limit(HOT_KEYS)
+    size = F.length(F.to_json(F.struct(*[name(c) for c in lookup.columns])))
+    upto = F.sum(size).over(Window.orderBy(F.desc(weight), *keys).rowsBetween(Window.unboundedPreceding, 0))
+    hot = heaviest.withColumn("_upto", upto).filter(F.col("_upto") <= BROADCAST_BYTES).drop("_upto")
     held = [F.col(f"_hot_{c}") for c in extra]
     heavy = hot.select(*keys, F.lit(True).alias("_is_hot"), *[name(c).alias(f"_hot_{c}") for c in extra])
     marked = rows.join(F.broadcast(heavy), keys, "left")

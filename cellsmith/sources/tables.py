@@ -129,8 +129,10 @@ def result_payload(df: DataFrame, mask: DataFrame, key: str, rows: int = 1000) -
     head = preview(df, key, rows).select(
         name(key), F.to_json(F.struct(*[name(c) for c in columns]), {"ignoreNullFields": "false"}).alias("row")
     )
-    flags = mask.select(name(key), F.to_json(F.struct(*[name(c).cast("boolean").alias(c) for c in shown])).alias("mask"))
-    return head.join(flags, key, "inner")
+    # The head has at most ``rows`` rows, so it goes to the mask and not the mask to it.
+    flags = mask.join(F.broadcast(head.limit(rows)), key, "inner")
+    rendered = F.to_json(F.struct(*[name(c).cast("boolean").alias(c) for c in shown])).alias("mask")
+    return flags.select(name(key), F.col("row"), rendered)
 
 
 def write_corrections(df: DataFrame, path: str, fmt: str = "csv", mode: str = "overwrite") -> None:

@@ -137,7 +137,11 @@ def iqr_outliers_query(spark, sf):
     return iqr_outliers(table(spark, sf, "events"), "event_id", "value")
 
 
-@query("row_sample")
+@query(
+    "row_sample",
+    """SELECT p_partkey, 'p_partkey: ' || p_partkey || ', p_name: ' || coalesce(p_name, 'nan') || ', p_brand: ' || coalesce(p_brand, 'nan') AS example
+    FROM part ORDER BY md5('1|' || p_partkey), p_partkey LIMIT 10""",
+)
 def row_sample_query(spark, sf):
     part = table(spark, sf, "part").select("p_partkey", "p_name", "p_brand")
     return row_sample(part, "p_partkey", 10, seed=1)
@@ -201,8 +205,9 @@ def batch_features_query(spark, sf):
 )
 def minmax_scale_inverse(spark, sf):
     gaps = fx.price_gaps(fx.price_truth(spark, sf))
-    plain = minmax_stats(gaps, ["price"])["price"]
-    shifted = minmax_stats(gaps, ["qty"], shifted=True)["qty"]
+    stats = minmax_stats(gaps, ["price", "qty"])
+    plain, range_of = stats["price"], stats["qty"]
+    shifted = {**range_of, "den": range_of["max"] - range_of["min"] + 1e-6}
     return gaps.select(
         "row_id",
         r6(scaled(F.col("price"), plain), "scaled"),

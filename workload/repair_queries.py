@@ -94,7 +94,7 @@ def _chosen(clean):
 _SQUEEZE = "regexp_replace(regexp_replace(lower({v}), '\\s*(oz|ounces|%)\\.?$', ''), '[^a-z0-9]', '', 'g')"
 
 _EXAMPLES_SQL = f"""{fx.PRIORITY_SQL},
-ex AS (SELECT row_id, 'priority' AS col, coalesce(d.priority, 'null') AS dirty, c.priority AS truth FROM dirty d JOIN clean c USING (row_id)
+ex AS (SELECT row_id, 'priority' AS col, '{{"status":"' || coalesce(d.status, 'null') || '","priority":"' || coalesce(d.priority, 'null') || '"}}' AS context, coalesce(d.priority, 'null') AS dirty, c.priority AS truth FROM dirty d JOIN clean c USING (row_id)
   WHERE row_id % 260 IN (5, 8, 11, 18, 21) AND coalesce(d.priority, 'null') <> c.priority),
 typed AS (SELECT *, CASE WHEN dirty IN ('', 'null', 'nan') THEN 'Missing Value'
   WHEN {_SQUEEZE.format(v='dirty')} = {_SQUEEZE.format(v='truth')} THEN 'Formatting Issue' WHEN levenshtein(dirty, truth) <= 2 THEN 'Typo'
@@ -107,20 +107,21 @@ def _examples(spark, sf):
     return rp.repair_examples(dirty, clean, _chosen(clean), "row_id", ["status", "priority"])
 
 
-@query("repair_examples", f"WITH {_EXAMPLES_SQL} SELECT row_id, col, dirty, truth, error_type FROM typed")
+@query("repair_examples", f"WITH {_EXAMPLES_SQL} SELECT row_id, col, context, dirty, truth, error_type FROM typed")
 def repair_examples_query(spark, sf):
-    return _examples(spark, sf).drop("context")
+    return _examples(spark, sf)
 
 
 @query(
     "clean_examples",
-    """SELECT o_orderkey AS row_id, 'priority' AS col, o_orderpriority AS dirty, o_orderpriority AS truth, 'clean' AS error_type FROM orders WHERE o_orderkey % 130 = 1
-    UNION ALL SELECT o_orderkey, 'status', o_orderstatus, o_orderstatus, 'clean' FROM orders WHERE o_orderkey % 130 = 1""",
+    """WITH o AS (SELECT *, '{"status":"' || o_orderstatus || '","priority":"' || o_orderpriority || '"}' AS context FROM orders WHERE o_orderkey % 130 = 1)
+    SELECT o_orderkey AS row_id, 'priority' AS col, context, o_orderpriority AS dirty, o_orderpriority AS truth, 'clean' AS error_type FROM o
+    UNION ALL SELECT o_orderkey, 'status', context, o_orderstatus, o_orderstatus, 'clean' FROM o""",
 )
 def clean_examples_query(spark, sf):
     clean = fx.priority_clean(spark, sf)
     rows = clean.filter("row_id % 130 = 1").select("row_id")
-    return rp.clean_examples(fx.priority_dirty(clean), rows, "row_id", ["status", "priority"]).drop("context")
+    return rp.clean_examples(fx.priority_dirty(clean), rows, "row_id", ["status", "priority"])
 
 
 @query(
@@ -170,7 +171,7 @@ def residual_cells_query(spark, sf):
     return rp.residual_cells(dirty, fixed, mask, "row_id")
 
 
-_GRAM_DIMS = 16
+_GRAM_DIMS = 32
 
 
 @query(
@@ -192,9 +193,11 @@ def _typo_values(spark, sf):
 
 @query("column_forest")
 def column_forest(spark, sf):
-    values = _typo_values(spark, sf)
-    model = fit_column_forest(values)
-    scored = score_cells(fx.typo_dirty(fx.typo_clean(spark, sf)).select("row_id", "name"), "row_id", {"name": model}, {})
+    """Fitted on half of the distinct values, scored on the rows of the other half."""
+    train = F.conv(F.substring(F.md5("value"), 1, 8), 16, 10).cast("bigint") % 2 == 0
+    model = fit_column_forest(_typo_values(spark, sf).filter(train))
+    rows = fx.typo_dirty(fx.typo_clean(spark, sf)).select("row_id", "name").withColumn("value", F.col("name"))
+    scored = score_cells(rows.filter(~train).drop("value"), "row_id", {"name": model}, {})
     truth = fx.typo_mask(fx.typo_clean(spark, sf)).select("row_id", F.col("name").alias("truth"))
     return scored.join(truth, "row_id")
 
@@ -210,14 +213,14 @@ def score_cells_query(spark, sf):
 
 @query("detect_cells")
 def detect_cells(spark, sf):
-    dirty = fx.typo_dirty(fx.typo_clean(spark, sf)).select("row_id", "name", "kind")
+    dirty = fx.typo_dirty(fx.typo_clean(spark, sf))
     provider = labels_from_predicates({"name": "substring(name, 2, 1) = 'x'"})
     rules = {"name": {k: RULES[k] for k in ("no_typo", "two_words")}}
-    return CellDetector("row_id", provider, rules, max_k=6).fit_transform(dirty)
+    return CellDetector("row_id", provider, rules).fit_transform(dirty)
 
 
 @query("correct_cells", f"WITH {fx.ORDERS_SQL} SELECT * FROM clean")
 def correct_cells(spark, sf):
     """Every injected error is repairable here, so the corrected table must equal the clean one."""
     clean = fx.orders_clean(spark, sf)
-    return CellCorrector("row_id", dims=16).fit_transform(fx.orders_dirty(clean), fx.orders_mask(clean), clean)
+    return CellCorrector("row_id").fit_transform(fx.orders_dirty(clean), fx.orders_mask(clean), clean)

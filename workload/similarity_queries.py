@@ -227,7 +227,25 @@ def knn_fill_query(spark, sf):
     return filled.select("row_id", r6(F.col("size"), "size"), r6(F.col("price"), "price"), "width")
 
 
-@query("baseline_correct_knn")
+_CODED = [(c, f"(SELECT {c} AS v, row_number() OVER (ORDER BY {c}) - 1 AS code FROM (SELECT DISTINCT {c} FROM blank WHERE {c} IS NOT NULL))") for c in ("name", "brand", "kind")]
+_GAP = " + ".join(f"coalesce(pow(a.{c} - b.{c}, 2), 0)" for c, _ in _CODED)
+_SHARED = " + ".join(f"(a.{c} IS NOT NULL AND b.{c} IS NOT NULL)::INT" for c, _ in _CODED)
+
+
+@query(
+    "baseline_correct_knn",
+    f"""WITH {fx.TYPO_SQL},
+    blank AS (SELECT d.row_id, {', '.join(f"CASE WHEN m.{c} THEN NULL ELSE d.{c} END AS {c}" for c, _ in _CODED)} FROM dirty d JOIN mask m USING (row_id)),
+    x AS (SELECT row_id, {', '.join(f"CAST({c}_k.code AS DOUBLE) AS {c}" for c, _ in _CODED)} FROM blank {' '.join(f"LEFT JOIN {t} {c}_k ON blank.{c} = {c}_k.v" for c, t in _CODED)}),
+    need AS ({' UNION ALL '.join(f"SELECT row_id, '{c}' AS t FROM x WHERE {c} IS NULL" for c, _ in _CODED)}),
+    pairs AS (SELECT n.row_id, n.t, b.row_id AS donor, CASE n.t {' '.join(f"WHEN '{c}' THEN b.{c}" for c, _ in _CODED)} END AS v,
+      {_SHARED} AS shared, round(3.0::DOUBLE / nullif({_SHARED}, 0) * ({_GAP}), 6) AS d2
+      FROM need n JOIN x a ON a.row_id = n.row_id JOIN x b ON CASE n.t {' '.join(f"WHEN '{c}' THEN b.{c}" for c, _ in _CODED)} END IS NOT NULL),
+    best AS (SELECT row_id, t, avg(v) AS v FROM (SELECT * FROM pairs WHERE shared > 0 QUALIFY row_number() OVER (PARTITION BY row_id, t ORDER BY d2, donor) <= 5) GROUP BY 1, 2),
+    full_x AS (SELECT x.row_id, {', '.join(f"coalesce(x.{c}, b_{c}.v, (SELECT avg({c}) FROM x)) AS {c}" for c, _ in _CODED)} FROM x {' '.join(f"LEFT JOIN best b_{c} ON b_{c}.row_id = x.row_id AND b_{c}.t = '{c}'" for c, _ in _CODED)})
+    SELECT f.row_id, {', '.join(f"{c}_k.v AS {c}" for c, _ in _CODED)} FROM full_x f
+    {' '.join(f"LEFT JOIN {t} {c}_k ON {c}_k.code = CAST(round_even(f.{c}, 0) AS BIGINT)" for c, t in _CODED)}""",
+)
 def baseline_correct_knn(spark, sf):
     clean = fx.typo_clean(spark, sf)
     return baseline_correct(fx.typo_dirty(clean), fx.typo_mask(clean), "row_id", strategy="knn")
@@ -241,7 +259,7 @@ def _typo_vectors(spark, sf):
 @query("repair_candidates")
 def repair_candidates_query(spark, sf):
     dirty, mask = _typo_vectors(spark, sf)
-    vectors = masked_row_vectors(dirty, mask, "row_id", ["name", "brand", "kind"], 16)
+    vectors = masked_row_vectors(dirty, mask, "row_id", ["name", "brand", "kind"])
     return repair_candidates(vectors, mask, "row_id", 10)
 
 
@@ -250,5 +268,5 @@ def clean_representatives_query(spark, sf):
     from cellsmith.operators.repair import row_vector
 
     dirty, mask = _typo_vectors(spark, sf)
-    vectors = dirty.select("row_id", row_vector(["name", "brand", "kind"], 16).alias("vec"))
+    vectors = dirty.select("row_id", row_vector(["name", "brand", "kind"]).alias("vec"))
     return clean_representatives(vectors, mask, "row_id", 10)
