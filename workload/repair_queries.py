@@ -224,3 +224,71 @@ def correct_cells(spark, sf):
     """Every injected error is repairable here, so the corrected table must equal the clean one."""
     clean = fx.orders_clean(spark, sf)
     return CellCorrector("row_id").fit_transform(fx.orders_dirty(clean), fx.orders_mask(clean), clean)
+
+
+_TYPO_COLUMNS = ["name", "brand", "kind"]
+_SLOT = f"(unicode(substr(gram, 1, 1)) * 7919 + unicode(substr(gram, 2, 1)) * 104729 + unicode(substr(gram, 3, 1)) * 1299709) % 1000003 % {rp.EMBED_DIMS}"
+
+
+def _blocks_sql(rows: str, weights: dict[str, float]) -> str:
+    """(row_id, slot, weight) of weighted trigram blocks side by side; a flagged cell has none."""
+    cells = " UNION ALL ".join(
+        f"SELECT row_id, {at * rp.EMBED_DIMS} AS base, {w}::DOUBLE AS w, '^' || {c} || '$' AS s FROM {rows} WHERE NOT _f_{c}"
+        for at, (c, w) in enumerate(weights.items())
+    )
+    return f"""cells AS ({cells}),
+    g AS (SELECT row_id, base, w, substr(s, CAST(i AS INTEGER), 3) AS gram FROM cells, range(1, 200) r(i) WHERE i <= greatest(length(s) - 2, 1)),
+    slots AS (SELECT row_id, base, w, {_SLOT} AS slot, count(*) AS n FROM g GROUP BY ALL),
+    vec AS (SELECT row_id, CAST(base + slot AS INTEGER) AS slot, w * n / sqrt(sum(n * n) OVER (PARTITION BY row_id, base)) AS weight FROM slots)"""
+
+
+_FLAGGED_SQL = f"flat AS (SELECT d.*, {', '.join(f'm.{c} AS _f_{c}' for c in _TYPO_COLUMNS)} FROM dirty d JOIN mask m USING (row_id))"
+
+
+@query(
+    "retrieval_index",
+    f"""WITH {fx.TYPO_SQL}, {_FLAGGED_SQL}, whole AS (SELECT row_id, name, brand, kind, false AS _f_name, false AS _f_brand, false AS _f_kind FROM flat),
+    {_blocks_sql('whole', dict.fromkeys(_TYPO_COLUMNS, 1.0))},
+    entry AS (SELECT row_id AS id, '{{' || CASE WHEN _f_name THEN '' ELSE '"name":"' || name || '",' END || '"brand":"' || brand || '","kind":"' || kind || '"}}' AS context,
+      name AS target_value, CAST(_f_name AS INTEGER) AS target_flag, CAST(_f_name AS INTEGER) AS flag_count FROM flat)
+    SELECT e.*, count(*) AS slots, round(sum(v.weight), 6) AS total, round(sum(v.weight * v.slot), 4) AS moment FROM entry e JOIN vec v ON v.row_id = e.id GROUP BY ALL""",
+)
+def retrieval_index_query(spark, sf):
+    """Index entries; the vector enters the comparison by its size, sum and first moment."""
+    clean = fx.typo_clean(spark, sf)
+    index = rp.retrieval_index(fx.typo_dirty(clean), fx.typo_mask(clean), "row_id", "name", _TYPO_COLUMNS)
+    opened = index.select("*", F.posexplode("vec").alias("slot", "weight")).filter("weight <> 0")
+    keys = ["id", "context", "target_value", "target_flag", "flag_count"]
+    return opened.groupBy(*keys).agg(
+        F.count("*").alias("slots"), F.round(F.sum("weight"), 6).alias("total"), F.round(F.sum(F.col("weight") * F.col("slot")), 4).alias("moment")
+    )
+
+
+_WEIGHTS = {"name": 1.0, "brand": 0.5, "kind": 2.0}
+
+
+@query(
+    "masked_query_vectors",
+    f"WITH {fx.TYPO_SQL}, {_FLAGGED_SQL}, asked AS (SELECT * FROM flat WHERE _f_name), {_blocks_sql('asked', _WEIGHTS)} SELECT row_id AS id, slot, round(weight, 6) AS weight FROM vec",
+)
+def masked_query_vectors(spark, sf):
+    """Vectors that the retrieval route asks with: flagged cells left out, blocks weighted."""
+    clean = fx.typo_clean(spark, sf)
+    cells = fx.typo_mask(clean).filter("name").select("row_id")
+    vectors = rp.query_vectors(fx.typo_dirty(clean), fx.typo_mask(clean), "row_id", cells, _WEIGHTS)
+    opened = vectors.select("id", F.posexplode("vec").alias("slot", "weight")).filter("weight <> 0")
+    return opened.select("id", "slot", r6(F.col("weight"), "weight"))
+
+
+@query(
+    "repair_log",
+    f"""WITH {fx.ORDERS_SQL} SELECT d.row_id, 'segment' AS col, coalesce(d.segment, 'null') AS dirty, c.segment AS correction
+    FROM dirty d JOIN clean c USING (row_id) JOIN mask m USING (row_id) WHERE m.segment""",
+)
+def repair_log_query(spark, sf):
+    """The log of the end-to-end corrector and the cells repaired by hand: together every flagged cell, once."""
+    clean = fx.orders_clean(spark, sf)
+    corrector = CellCorrector("row_id")
+    corrector.fit_transform(fx.orders_dirty(clean), fx.orders_mask(clean), clean)
+    by_hand = corrector.examples.filter("error_type <> 'clean'").select("row_id", "col", "dirty", F.col("truth").alias("correction"))
+    return corrector.log.select("row_id", "col", "dirty", "correction").unionByName(by_hand)
