@@ -217,13 +217,23 @@ def clean_examples(dirty: DataFrame, clean_rows: DataFrame, key: str, columns: S
 def split_half(examples: DataFrame, key: str, seed: int = 0, group: str = "col") -> DataFrame:
     """Adds ``part``: an exact seeded half per column; the odd one goes to validation.
 
-    Examples are a bounded set (chosen and clean representatives), so the window is small.
+    Examples are counted per column and first digits of their hash; only the stretch of
+    hashes that holds the middle is ranked row by row, so no task sees a whole column.
     """
     order = F.md5(F.concat_ws("|", F.lit(str(seed)), name(key).cast("string")))
-    spot = F.row_number().over(Window.partitionBy(group).orderBy(order, name(key)))
-    size = F.count("*").over(Window.partitionBy(group))
-    part = F.when(spot <= F.floor(size / 2), F.lit("train")).otherwise(F.lit("validation"))
-    return examples.withColumn("part", part)
+    marked = examples.withColumn("_order", order).withColumn("_stretch", F.substring("_order", 1, 3))
+    upto = Window.partitionBy(group).orderBy("_stretch")
+    counts = (
+        marked.groupBy(group, "_stretch")
+        .agg(F.count("*").alias("_n"))
+        .withColumn("_before", F.sum("_n").over(upto) - F.col("_n"))
+        .withColumn("_half", F.floor(F.sum("_n").over(Window.partitionBy(group)) / 2))
+        .drop("_n")
+    )
+    spot = F.col("_before") + F.row_number().over(Window.partitionBy(group, "_stretch").orderBy("_order", name(key)))
+    part = F.when(spot <= F.col("_half"), F.lit("train")).otherwise(F.lit("validation"))
+    placed = marked.join(counts, [group, "_stretch"]).withColumn("part", part)
+    return placed.select(*[name(c) for c in examples.columns], "part")
 
 
 def route_columns(examples: DataFrame) -> DataFrame:

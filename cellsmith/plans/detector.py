@@ -80,16 +80,24 @@ class CellDetector:
             chosen = medoids(placed, "id", "cluster", "vec", "copies")
         chosen = checkpointed(chosen.select("cluster", "representative"))
         rows = df.join(chosen.select(F.col("representative").alias(self.key)), self.key, "left_semi")
-        labels = self.label_provider(rows, self.key, column).withColumnRenamed(self.key, "id")
+        facts = (self._context(column),) if getattr(self.label_provider, "with_context", False) else ()
+        labels = self.label_provider(rows, self.key, column, *facts).withColumnRenamed(self.key, "id")
         members = propagate_labels(placed.select("id", "cluster"), chosen, labels, "id")
         return checkpointed(placed.select("id", "value", "copies").join(members, "id").select("id", "value", F.col("copies").alias("weight"), "label"))
 
+    def _context(self, column: str) -> dict[str, object]:
+        """What a label provider may know beside the rows: related columns and the column's distribution report."""
+        report = self.distribution.get(column)
+        rows = [r.asDict() for r in report.collect()] if report is not None else []
+        return {"related": self.related.get(column, []), "distribution": rows}
+
     def fit(self, df: DataFrame) -> CellDetector:
         columns = [c for c in df.columns if c != self.key]
         self.models, self.kept, self.related = {}, {}, {}
         if self.related_top and len(columns) > 1:
             for r in related_columns(nmi_pairs(df, columns), self.related_top).orderBy("col", "rank").collect():
                 self.related.setdefault(r["col"], []).append(r["related"])
+        self.distribution = {c: distribution_report(df, c) for c in columns} if self.with_distribution else {}
         # Columns are independent; a few at a time keep the cluster busy, as in pyspark.ml.tuning.
         step = inheritable_thread_target(df.sparkSession)(lambda column: self._fit_column(df, column))
         with ThreadPool(max(1, min(self.parallelism, len(columns)))) as pool:
@@ -99,8 +107,6 @@ class CellDetector:
                 self.kept[column] = kept
             if model is not None:
                 self.models[column] = model
-            if self.with_distribution:
-                self.distribution[column] = distribution_report(df, column)
         return self
 
     def _fit_column(self, df: DataFrame, column: str) -> tuple[list[str], RandomForestClassificationModel | None]:

@@ -71,6 +71,23 @@ def test_detector(spark, people, tmp_path, cluster):
         assert {r["id"] % 10 for r in by_rule.filter("age").collect()} == {2}
 
 
+def test_detector_hands_context_to_the_provider(spark):
+    rows = spark.createDataFrame([(i, str(20 + i % 5), "NY" if i % 5 < 2 else "LA") for i in range(30)], "id long, age string, city string")
+
+    def answer(pdf, column, context):
+        known = context["related"] == (["city"] if column == "age" else ["age"]) and any(r["line"].startswith(("20:", "LA:")) for r in context["distribution"])
+        return pd.Series(['{"has_error_in_age_value": %s}' % ("false" if known else "true")] * len(pdf))
+
+    mask = CellDetector("id", labels_from_function(answer, with_context=True), max_k=2, with_errors=False).fit_transform(rows)
+    assert mask.filter("age or city").count() == 0
+
+
+def test_split_half_is_exact(spark):
+    rows = spark.range(501).selectExpr("id", "if(id % 5 = 0, 'a', 'b') AS col")
+    parts = {(r["col"], r["part"]): r["count"] for r in rp.split_half(rows, "id").groupBy("col", "part").count().collect()}
+    assert parts == {("a", "train"): 50, ("a", "validation"): 51, ("b", "train"): 200, ("b", "validation"): 200}
+
+
 def test_answers_are_retried(spark, people):
     def answer(pdf, column):
         raise RuntimeError("down")
