@@ -319,14 +319,14 @@ def test_pipeline_stages(spark):
     """Each stage on what the one before it kept, against plain versions."""
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     stages = dict(corpus_pipeline.STAGES)
-    kept = stages["quality_rules"](spark, docs, SF)
-    one = stages["ngram_join"](spark, kept, SF)
+    kept = stages["quality_rules"](spark, docs, SF).cache()
+    one = stages["ngram_join"](spark, kept, SF).cache()
     rows = [(r["doc_id"], r["text"]) for r in kept.collect()]
     groups = plain_components(rows, corpus_pipeline.LIKE)
     assert sorted(r["doc_id"] for r in one.collect()) == sorted({c for _, _, c in groups})
-    clean = stages["pii"](spark, one, SF)
+    clean = stages["pii"](spark, one, SF).cache()
     assert all(not plain_spans(r["text"]) and r["n_chars"] == len(r["text"]) for r in clean.collect())
-    mixed = stages["mixing"](spark, clean, SF)
+    mixed = stages["mixing"](spark, clean, SF).cache()
     assert {r["doc_id"] for r in mixed.collect()} == {r["doc_id"] for r in clean.collect()}
     ids = corpus_pipeline.run(spark, SF)
     assert ids.columns == ["doc_id", "n_tokens", "ids"] and ids.count() == mixed.count()
