@@ -6,6 +6,7 @@ import hashlib
 import json
 import re
 from collections.abc import Iterator
+from struct import pack
 
 import ahocorasick
 import numpy as np
@@ -19,7 +20,9 @@ from cellsmith.llm.common import col, fresh
 #: Fixed by the byte-level scheme: how a text is cut before the merges.
 PIECES = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
 #: Pieces whose ids a worker remembers, and the longest piece that it remembers.
-CACHE_PIECES, CACHE_CHARS = 1 << 18, 48
+CACHE_PIECES, CACHE_CHARS, CACHE_PAIRS = 1 << 17, 48, 1 << 17
+#: Rows of a batch that are worked on at a time.
+SLICE_ROWS = 512
 FOREVER = 1 << 60
 
 
@@ -31,7 +34,7 @@ def _byte_chars() -> dict[str, int]:
 
 
 class BytePairCoder:
-    """Encodes and decodes with a byte-level tokenizer file in JSON form.
+    """Encodes with a byte-level tokenizer file in JSON form.
 
     For each prefix of a piece exactly one token can stand last in its encoding. An
     automaton lists the tokens that are suffixes of the prefix; the one that is
@@ -45,7 +48,6 @@ class BytePairCoder:
         raw = lambda s: bytes(chars[c] for c in s)
         ids = {raw(s): i for s, i in spec["model"]["vocab"].items()}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.bytes_of = {i: b for b, i in ids.items()} | {i: s.encode() for s, i in self.special.items()}
         self.length = {i: len(b) for b, i in ids.items()}
         self.split = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.rank: dict[tuple[int, int], int] = {}
@@ -55,8 +57,8 @@ class BytePairCoder:
             pair = ids[left], ids[right]
             self.rank[pair] = rank
             made.setdefault(ids[left + right], (*pair, rank))
-        self.right_edge = {i: self._edge(made, i, 1) for i in self.length}
-        self.left_edge = {i: self._edge(made, i, 0) for i in self.length}
+        self.made = made
+        self.edges: dict[tuple[int, int], list[tuple[int, int, int]]] = {}
         self.automaton = ahocorasick.Automaton()
         for b, i in ids.items():
             if len(b) == 1 or i in made:
@@ -65,15 +67,18 @@ class BytePairCoder:
         self.fits: dict[tuple[int, int], bool] = {}
         self.known: dict[str, bytes] = {}
 
-    @staticmethod
-    def _edge(made: dict[int, tuple[int, int, int]], token: int, side: int) -> list[tuple[int, int, int]]:
+    def _edge(self, token: int, side: int) -> list[tuple[int, int, int]]:
         """(part, born, gone) of the parts on one edge of a token: the merge that makes each and the one that takes it up."""
-        out, gone = [], FOREVER
-        while token in made:
-            born = made[token][2]
-            out.append((token, born, gone))
-            token, gone = made[token][side], born
-        return [*out, (token, -1, gone)]
+        out = self.edges.get((token, side))
+        if out is None:
+            out, part, gone = [], token, FOREVER
+            while part in self.made:
+                born = self.made[part][2]
+                out.append((part, born, gone))
+                part, gone = self.made[part][side], born
+            out.append((part, -1, gone))
+            self.edges[token, side] = out
+        return out
 
     def compatible(self, left: int, right: int) -> bool:
         """Whether merging the bytes of both tokens together leaves the border between them.
@@ -81,31 +86,32 @@ class BytePairCoder:
         It does not if a pair of parts at the border merges while both exist. Among merges
         of one rank the leftmost comes first: the left part is then gone, the right one is not.
         """
-        for x, x_born, x_gone in self.right_edge[left]:
-            for y, y_born, y_gone in self.left_edge[right]:
-                rank = self.rank.get((x, y))
+        rank_of, right_parts = self.rank.get, self._edge(right, 0)
+        for x, x_born, x_gone in self._edge(left, 1):
+            for y, y_born, y_gone in right_parts:
+                rank = rank_of((x, y))
                 if rank is not None and x_born < rank < x_gone and y_born < rank <= y_gone:
                     return False
         return True
 
     def piece_ids(self, piece: bytes) -> list[int]:
-        last, size = [0] * (len(piece) + 1), self.length
+        last, size, known = [0] * (len(piece) + 1), self.length, self.fits.get
         done = 0
-        for end, token in self.automaton.iter(piece.decode("latin-1")):
+        for end, token in self.automaton.iter(piece.decode("latin-1")):  # longest first at each end
             if end < done:
                 continue
             before = end + 1 - size[token]
             if before:
                 pair = last[before], token
-                fits = self.fits.get(pair)
+                fits = known(pair)
                 if fits is None:
-                    if len(self.fits) >= CACHE_PIECES:
+                    if len(self.fits) >= CACHE_PAIRS:
                         self.fits.clear()
                     fits = self.fits[pair] = self.compatible(*pair)
                 if not fits:
                     continue
-            last[end + 1] = token
             done = end + 1
+            last[done] = token
         out, at = [], len(piece)
         while at:
             out.append(last[at])
@@ -114,7 +120,8 @@ class BytePairCoder:
 
     def _packed(self, piece: str) -> bytes:
         """Ids as little-endian 32-bit integers."""
-        ids = np.array(self.piece_ids(piece.encode()), dtype="<u4").tobytes()
+        found = self.piece_ids(piece.encode())
+        ids = pack(f"<{len(found)}I", *found)
         if len(piece) <= CACHE_CHARS:
             if len(self.known) >= CACHE_PIECES:
                 self.known.clear()
@@ -132,8 +139,22 @@ class BytePairCoder:
                 out += [known(p) or packed(p) for p in PIECES.findall(part)]
         return b"".join(out)
 
-    def decode(self, ids: list[int]) -> str:
-        return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", errors="replace")
+
+def token_bytes(file: bytes) -> dict[int, bytes]:
+    """Bytes of every token, special ones included."""
+    spec, chars = json.loads(file), _byte_chars()
+    plain = {i: bytes(chars[c] for c in s) for s, i in spec["model"]["vocab"].items()}
+    return plain | {t["id"]: t["content"].encode() for t in spec["added_tokens"]}
+
+
+def decode(ids: list[int], table: dict[int, bytes]) -> str:
+    return b"".join(map(table.__getitem__, ids)).decode("utf-8", errors="replace")
+
+
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE_ROWS):
+            yield batch.slice(at, SLICE_ROWS)
 
 
 _CODERS: dict[str, BytePairCoder] = {}
@@ -161,7 +182,7 @@ def encode_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = _coder(file.value)
-        for batch in batches:
+        for batch in _slices(batches):
             packed = [coder.encode(t.as_py() or "") for t in batch.column("text")]
             sizes = np.array([len(p) // 4 for p in packed], dtype=np.int64)
             ends = np.concatenate([[0], np.cumsum(sizes)])
@@ -186,11 +207,13 @@ def decode_documents(encoded: DataFrame, tokenizer: str, ids_col: str = "ids") -
     digest, text = fresh(others, "ids_sha256"), fresh(others, "decoded")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = _coder(file.value)
-        for batch in batches:
-            ids = [x.as_py() or [] for x in batch.column(ids_col)]
-            digests = [hashlib.sha256(np.array(x, dtype="<u4").tobytes()).hexdigest() for x in ids]
-            texts = [coder.decode(x) for x in ids]
+        table = token_bytes(file.value)
+        for batch in _slices(batches):
+            digests, texts = [], []
+            for value in batch.column(ids_col):
+                ids = np.asarray(value.values, dtype="<u4") if value.is_valid else np.empty(0, "<u4")
+                digests.append(hashlib.sha256(ids.tobytes()).hexdigest())
+                texts.append(decode(ids.tolist(), table))
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in others), pa.array(digests, pa.string()), pa.array(texts, pa.string())], names=[*others, digest, text]
             )
