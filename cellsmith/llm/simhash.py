@@ -5,7 +5,6 @@ from __future__ import annotations
 import hashlib
 from collections import Counter
 from collections.abc import Iterator
-from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -22,6 +21,7 @@ from cellsmith.session import checkpointed
 #: Width of a fingerprint and the radius of the search. Two of RADIUS + 2 blocks are equal in any two
 #: fingerprints that differ in at most RADIUS bits, so each pair of blocks is the key of a table.
 BITS, RADIUS = 128, 4
+BLOCK_BITS = 22
 CACHE_TERMS = 1 << 17
 
 
@@ -140,7 +140,7 @@ def _halves(fingerprint: Column) -> list[Column]:
 
 
 def _blocks(high: Column, low: Column) -> list[Column]:
-    """RADIUS + 2 blocks of neighbouring bits that cover the fingerprint."""
+    """RADIUS + 2 blocks of at most BLOCK_BITS neighbouring bits that cover the fingerprint."""
     per_half = (RADIUS + 2) // 2
     edges = [64 * k // per_half for k in range(per_half + 1)]
     return [
@@ -159,10 +159,14 @@ def count_within(prints: DataFrame, queries: DataFrame) -> DataFrame:
     pairs = list(combinations(range(RADIUS + 2), 2))
 
     def tables(df: DataFrame, side: str) -> DataFrame:
+        """One row per table; its key is the number of the table and both blocks in one whole number."""
         halves = df.select("*", *[h.alias(f"{side}_{k}") for k, h in zip("hl", _halves(F.col("fingerprint")))])
         blocks = _blocks(F.col(f"{side}_h"), F.col(f"{side}_l"))
-        keys = F.array(*[F.struct(F.lit(k).alias("t"), blocks[a].alias("a"), blocks[b].alias("b")) for k, (a, b) in enumerate(pairs)])
-        return halves.withColumn("key", F.explode(keys)).select("*", F.col("key.*")).drop("key")
+        keys = [
+            F.shiftleft(F.lit(k).cast("bigint"), 2 * BLOCK_BITS).bitwiseOR(F.shiftleft(blocks[a], BLOCK_BITS)).bitwiseOR(blocks[b])
+            for k, (a, b) in enumerate(pairs)
+        ]
+        return halves.withColumn("key", F.explode(F.array(*keys)))
 
     every = tables(prints.groupBy("fingerprint").agg(F.count("*").alias("n")), "d").drop("fingerprint")
     asked = tables(queries.select("fingerprint").distinct(), "q")
@@ -170,6 +174,6 @@ def count_within(prints: DataFrame, queries: DataFrame) -> DataFrame:
     same = [x == y for x, y in zip(d, q)]
     first = F.coalesce(*[F.when(same[a] & same[b], F.lit(k)) for k, (a, b) in enumerate(pairs)])
     apart = F.bit_count(F.col("d_h").bitwiseXOR(F.col("q_h"))) + F.bit_count(F.col("d_l").bitwiseXOR(F.col("q_l")))
-    meet = reduce(lambda x, y: x & y, [asked[c] == every[c] for c in ("t", "a", "b")])
-    found = asked.join(every, meet & (apart <= RADIUS) & (first == asked["t"]))
+    table = F.shiftrightunsigned(asked["key"], 2 * BLOCK_BITS)
+    found = asked.join(every, (asked["key"] == every["key"]) & (apart <= RADIUS) & (first == table))
     return found.groupBy("fingerprint").agg(F.sum("n").alias("n_within"))
