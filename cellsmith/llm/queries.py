@@ -32,13 +32,16 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 @query("op1_simhash")
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Also ``n_within``: for ids divisible by 100, the documents within the search radius, itself included."""
+    """Also the search, for ids divisible by 100: ``n_within``, the documents within the radius, itself included, and
+    ``within``, their classes of equal fingerprints by smallest id; rows with such a fingerprint are the members."""
     made = simhash.fingerprint_documents(read(spark, sf_dir, "documents"))
     made = simhash.checkpointed(made)
     asked = F.coalesce(F.col("doc_id") % 100 == 0, F.lit(False))
-    near = simhash.count_within(made, made.filter(asked))
+    found = simhash.find_within(made.select("fingerprint", "doc_id"), made.filter(asked))
+    classes = F.sort_array(F.collect_list(F.struct("doc_id", F.col("found").alias("fingerprint"))))
+    near = found.groupBy("fingerprint").agg(F.sum("n").alias("n_within"), classes.alias("within"))
     answered = made.filter(asked).join(near, "fingerprint", "left")
-    return made.filter(~asked).withColumn("n_within", F.lit(None).cast("bigint")).unionByName(answered)
+    return made.filter(~asked).unionByName(answered, allowMissingColumns=True)
 
 
 def _mix_sql(mix: mixing.Mix) -> str:

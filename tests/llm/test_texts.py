@@ -60,6 +60,30 @@ def test_search(spark):
     assert got == {q: sum(apart(q, p) <= simhash.RADIUS for p in prints) for q in {r[0] for r in asked.collect()}}
 
 
+def test_search_names_near_copies(spark):
+    """Planted copies at 0 to 14 bits, spread over all blocks, come back as ids; those beyond the radius do not."""
+    rnd = random.Random(11)
+    base = [rnd.getrandbits(128) for _ in range(20)]
+    rows = [(100 * k, f"{b:032x}") for k, b in enumerate(base)]
+    rows += [(100 * k + 1 + n, f"{b ^ sum(1 << x for x in rnd.sample(range(128), n)):032x}") for k, b in enumerate(base) for n in range(15)]
+    prints = spark.createDataFrame(rows, "doc_id bigint, fingerprint string")
+    found = simhash.find_within(prints, prints.filter("doc_id % 100 = 0"))
+    got = {(r["fingerprint"], r["doc_id"]) for r in simhash.members(found, prints).collect()}
+    assert got == {(rows[k][1], 100 * k + x) for k in range(20) for x in range(2 + simhash.RADIUS)}
+    assert {(r["doc_id"], r["n"], r["apart"]) for r in found.filter("apart < 2").collect()} == {(100 * k + 2 * x, 2 - x, x) for k in range(20) for x in range(2)}
+
+
+@needs_tables
+def test_search_on_tables(spark):
+    rows = QUERIES["op1_simhash"](spark, MORE).collect()
+    apart = lambda a, b: (int(a, 16) ^ int(b, 16)).bit_count()
+    for r in rows:
+        near = [x for x in rows if apart(r["fingerprint"], x["fingerprint"]) <= simhash.RADIUS] if r["doc_id"] % 100 == 0 else None
+        assert (r["n_within"], r["within"] is None) == (len(near) if near else None, near is None)
+        assert not near or {x["fingerprint"] for x in near} == {c["fingerprint"] for c in r["within"]}
+        assert not near or {c["doc_id"] for c in r["within"]} <= {x["doc_id"] for x in near}
+
+
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
