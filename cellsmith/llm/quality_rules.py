@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cellsmith.llm.common import bind, col, fresh, text_of, words_of
-from cellsmith.session import checkpointed
 
 #: Fixed by the query contract.
 SYMBOLS = "#*$%&|<>"
@@ -20,14 +19,12 @@ MOST_REPEAT_PCT = 30
 @dataclass(frozen=True)
 class Ratio:
     """``order``: words in an n-gram; ``buckets`` (a power of two) that n-grams are hashed to; ``prior``: raw-corpus counts mixed into the trusted counts of a
-    bucket, so that unseen n-grams weigh little; ``least``: mean log ratio below which a document is rejected;
-    ``trusted_rows``: documented bound on the labelled rows that define the trusted text."""
+    bucket, so that unseen n-grams weigh little; ``least``: mean log ratio below which a document is rejected."""
 
     order: int = 1
     buckets: int = 1 << 16
     prior: float = 1.0
     least: float = -0.15
-    trusted_rows: int = 20_000
 
 
 def letters(words: Column) -> Column:
@@ -91,15 +88,16 @@ def bucket(hashed: Column, ratio: Ratio) -> Column:
 def fit_ratio(docs: DataFrame, trusted_ids: DataFrame, ratio: Ratio, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row with ``weights``: array of ``buckets`` log ratios, trusted over raw.
 
-    ``trusted_ids``: one column of ids. At most ``trusted_rows`` of them, in order of
-    their hash, mark the trusted text; the raw counts are those of every document.
-    Both come from one pass that is pre-aggregated by bucket.
+    ``trusted_ids``: one column of ids; the text of every one of them is trusted, the raw
+    counts are those of every document. Both come from one pass that is pre-aggregated by
+    bucket. Ids meet their documents by a shuffle, as their number grows with the input;
+    documents without an id meet none and are spread by their text.
     """
     ids = trusted_ids.toDF("id").filter("id is not null").distinct()
-    ids = checkpointed(ids.orderBy(F.xxhash64("id"), "id").limit(ratio.trusted_rows))
-    marked = docs.select(col(id_col).alias("id"), text_of(text_col).alias("text")).join(
-        F.broadcast(ids.withColumn("trusted", F.lit(1))), "id", "left"
-    )
+    ids = ids.select("id", F.lit(0).cast("bigint").alias("spread"), F.lit(1).alias("trusted"))
+    texts = docs.select(col(id_col).alias("id"), text_of(text_col).alias("text"))
+    texts = texts.withColumn("spread", F.when(F.col("id").isNull(), F.xxhash64("text")).otherwise(F.lit(0).cast("bigint")))
+    marked = texts.join(ids.hint("shuffle_hash"), ["id", "spread"], "left")
     if ratio.order == 1:
         grams = marked.select("trusted", F.explode(words_of(F.col("text"))).alias("w")).withColumn("h", F.xxhash64("w"))
     else:

@@ -126,6 +126,12 @@ def test_rules_on_tables(spark):
     check_rules(spark, spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet").filter("quality = 1").select("doc_id"))
 
 
+def test_rules_trust_every_label(spark):
+    """More good labels than the bound there once was, some without a document; each document has a word of its own."""
+    docs = spark.range(21_000).select(F.col("id").alias("doc_id"), F.concat(F.repeat(F.lit("plain text "), 10), F.lit("own"), "id").alias("text"))
+    check_rules(spark, docs, spark.range(400, 24_000).toDF("doc_id"))
+
+
 def least_capacity(sizes, shards):
     """Minimax by dynamic programming over all cuts."""
     best = [0, *[math.inf] * len(sizes)]
