@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 #: Lines that a window covers, and the least text of a window at which main text may begin.
 WINDOW_LINES = 3
 SURGE_CHARS = 40
+#: What a character outside links weighs inside an article element; elsewhere it weighs 1.
+ARTICLE_WEIGHT = 8
 
 #: Elements of HTML by their part on a page.
 BREAKS = frozenset(
@@ -48,7 +50,8 @@ def _off_topic(name: str, rest: str, in_article: bool) -> bool:
 def page_lines(page: str) -> list[tuple[str, int, bool]]:
     """Lines of the page without markup: (text, characters outside links, inside an article element).
 
-    Elements that are not main text leave an empty line, so that the distribution falls there.
+    Elements that are not main text leave an empty line, so that the distribution falls there;
+    white space between tags makes no line.
     """
     lines: list[tuple[str, int, bool]] = []
     texts: list[str] = []
@@ -59,8 +62,8 @@ def page_lines(page: str) -> list[tuple[str, int, bool]]:
     def flush() -> None:
         nonlocal free
         if texts:
-            text = " ".join("".join(texts).split())
-            lines.append((text, free if text else 0, article > 0))
+            if text := " ".join("".join(texts).split()):
+                lines.append((text, free, article > 0))
             texts.clear()
             free = 0
 
@@ -124,26 +127,38 @@ def page_lines(page: str) -> list[tuple[str, int, bool]]:
 def main_text(page: str | None, window: int = WINDOW_LINES, surge: int = SURGE_CHARS) -> str:
     """Text between surge and dive points of the page's line-block distribution, one line per block.
 
-    A window's sum is the text outside links of ``window`` lines. Main text begins
-    where a sum reaches ``surge`` and ends where the sum falls to zero. Where the page marks an
-    article, only its lines count, and any text in it is a surge. Lines of links alone
-    are kept inside an article only.
+    A window's sum is the weight of ``window`` lines: their characters outside links, which
+    weigh more inside an article element, where links count a little too. Main text begins
+    where a sum reaches ``surge`` and ends where the sum falls to zero. What began inside an
+    article ends with it at the latest, and no window reaches over its edge before main text
+    begins; text outside is main text if its own sum surges. Lines of links alone are kept
+    inside an article only.
     """
     lines = page_lines(page or "")
-    marked = any(inside and text for text, _, inside in lines)
-    size = [(len(text) if inside else 0) if marked else free for text, free, inside in lines]
-    least = 1 if marked else surge
+    size = [(ARTICLE_WEIGHT - 1) * free + len(text) if inside else free for text, free, inside in lines]
     out: list[str] = []
-    total, begun, start = 0, False, 0
+    total, begun, start, edge, by_mark, before = 0, False, 0, 0, False, False
+
+    def take(stop: int) -> None:
+        out.extend(text for (text, _, _), n in zip(lines[start:stop], size[start:stop]) if n)
+
     for i in range(len(lines) + 1):  # the window of lines i - window .. i - 1 leaves, that of i - window + 1 .. i enters
+        inside = i < len(lines) and lines[i][2]
+        if inside != before:
+            if begun and by_mark:
+                take(i)
+                begun = False
+            if not begun:
+                total, edge = 0, i
+            before = inside
         if i < len(lines):
             total += size[i]
-        if i >= window:
+        if i - window >= edge:
             total -= size[i - window]
-        if not begun and total >= least:
-            begun, start = True, max(0, i - window + 1)
+        if not begun and total >= surge:
+            begun, start, by_mark = True, max(edge, i - window + 1), inside
         if begun and (total == 0 or i == len(lines)):
-            out += [text for (text, _, _), n in zip(lines[start : i + 1], size[start : i + 1]) if n]
+            take(i + 1)
             begun = False
     return "\n".join(out)
 

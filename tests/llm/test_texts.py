@@ -330,6 +330,27 @@ def test_page_text(page, text):
     assert html_extract.main_text(page) == text
 
 
+BODY = ["plain words " * 8 + "one.", "more words " * 9 + "two.", "The end."]
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        # One marked teaser does not replace a body in plain blocks.
+        ("<body>" + "".join(f"<div>{x}</div>" for x in BODY) + "<nav><a href='/'>home</a></nav><aside>side</aside><article><a href='/n'>Next</a> story</article></body>", [*BODY, "Next story"]),
+        # White space between the tags of a page without marks makes no lines.
+        ("<body>\n" + "".join(f"<div>\n<div>\n<p>{x}</p>\n</div>\n</div>\n" for x in BODY) + "</body>", BODY),
+        # A surge outside the article counts, short text does not.
+        (f"<div>{BODY[0]}</div><article><p>{BODY[1]}</p></article><p>tail</p>", [BODY[0], BODY[1], "tail"]),
+        (f"<p>Posted</p><article><p>{BODY[1]}</p></article><p>tail</p>", [BODY[1]]),
+        # Inside the article, the distribution falls over what is not main text: two crumbs after it make no surge.
+        (f"<article><p>{BODY[0]}</p><nav>a</nav><aside>b</aside><p>ok</p></article>", [BODY[0]]),
+    ],
+)
+def test_distribution_decides(page, text):
+    assert html_extract.main_text(page) == "\n".join(text)
+
+
 @needs_tables
 def test_pages_on_tables(spark):
     pages = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
