@@ -5,7 +5,10 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import groupby
 from zlib import crc32
 
 import numpy as np
@@ -25,14 +28,14 @@ LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz012345678
 IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-#: Words, and those of them that can be personal data: the others are always outside.
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
-OPEN_WORD = re.compile(r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+")
 ASSIGNED = re.compile(r"[A-Za-z_][A-Za-z_.-]*[=:]+")
 EDGES = "\"'`([{<>}]),;:!?."
+#: Without these, a word's features follow from the classes of its characters.
+SPECIAL = re.compile(r"[0-9@=:+]")
 
 LABELS = ("", *KINDS)
-FEATURES = 1 << 12
+FEATURES = 1 << 16
 
 #: The labelled table, plain text with marked spans. Generated values stand for {email} and the like.
 LABELLED = (
@@ -66,6 +69,34 @@ LABELLED = (
     "room {small}b, level {month}",
     "{word} {word}@ {word} @{word}",
     "model {upper}{small} by {word}",
+    "the password=[secret:{plain}] leaked",
+    "{word} password=[secret:{plain}] {word}",
+    "passwd: [secret:{plain}] {word}",
+    "{word} password: [secret:{plain}] {word}",
+    "{word} passwd=[secret:{plain}]",
+    'token = "[secret:{plain}]" {word}',
+    "{word} token=[secret:{plain}] {word}",
+    '{word} api_key="[secret:{plain}]" {word}',
+    "bearer [secret:{plainlong}] {word}",
+    "{word} secret=[secret:{plain}] {word}",
+    "the password of {word} was {word}",
+    "{word} password {long} {word} {word}",
+    "a token of {long} and {word}",
+    "the token {long} {word}",
+    "the bearer of {word} {word}",
+    "bearer {word} {word}",
+    "a secret {long} key {word}",
+    "{word} passwd {word} {long}",
+    "{word}={word} {word}",
+    "{word} {word}={long}",
+    '{word} = "{long}" {word}',
+    "{word}: {long} {word}",
+    "note: {word} {long}, {word}",
+    "{name} {long} {word}, {word} {long}.",
+    "{word} {long} {name} {name} {word}?",
+    "({word} {long}) {name}; {word}-{long} {word}'{word}",
+    "{upper}{upper}{upper} {word} {upper} {long}! {word}/{word} {word}_{word}",
+    "<p> {long} </p> & {word} | # {name} * {word}",
 )
 REPEATS = 12
 
@@ -76,6 +107,10 @@ def _values(rnd: random.Random) -> dict[str, str]:
     upper = letters.upper()
     return {
         "word": pick(letters, rnd.randint(2, 9)),
+        "long": pick(letters, rnd.randint(8, 24)),
+        "name": pick(upper, 1) + pick(letters, rnd.randint(1, 14)),
+        "plain": rnd.choice([pick(letters, rnd.randint(8, 20)), pick(upper, 1) + pick(letters + upper, rnd.randint(8, 20)), "".join(pick(upper, 1) + pick(letters, rnd.randint(3, 6)) for _ in range(3))]),
+        "plainlong": pick(rnd.choice([letters, letters + upper]), rnd.randint(28, 64)),
         "upper": pick(upper, rnd.randint(1, 3)),
         "email": f"{pick(letters, rnd.randint(2, 8))}{rnd.choice(['', '.', '_'])}{pick(letters + digits, 3)}@{pick(letters, 5)}{rnd.choice(['', '7'])}.{rnd.choice(['com', 'org', 'example.net'])}",
         "ip": ".".join(str(rnd.randint(0, 255)) for _ in range(4)),
@@ -108,56 +143,100 @@ def labelled_table(seed: int = 7) -> list[tuple[str, list[tuple[int, int, str]]]
     return out
 
 
+class _Classes(dict):
+    """Class of each character: digit, lower or upper letter, other ASCII as it is, the rest."""
+
+    def __missing__(self, code: int) -> str:
+        c = chr(code)
+        kind = self[code] = "9" if c in "0123456789" else "x" if c.islower() else "X" if c.isupper() else c if c.isascii() else "u"
+        return kind
+
+
+CLASSES = _Classes()
+
+
+@lru_cache(1 << 16)
+def _collapsed(classes: str) -> str:
+    return "".join(c for c, _ in groupby(classes))
+
+
 def _shape(word: str) -> str:
     """Classes of characters with runs shortened to one."""
-    out = []
-    for c in word[:64]:
-        kind = "9" if c in "0123456789" else "x" if c.islower() else "X" if c.isupper() else c if c.isascii() else "u"
-        if not out or out[-1] != kind:
-            out.append(kind)
-    return "".join(out)
+    return _collapsed(word[:64].translate(CLASSES))
+
 
+@lru_cache(1 << 16)
+def _feature(name: str) -> int:
+    return crc32(name.encode()) % FEATURES
 
-def _features(word: str, before: str, after: str) -> list[int]:
-    """Hashed features of a word and its neighbours; shapes only, but for short runs of letters."""
+
+def _own(word: str) -> tuple[int, ...]:
+    """Hashed features of a word; shapes only, but for a name it is assigned to and short runs of letters before digits."""
     core = word.strip(EDGES)
-    digits = sum(c in "0123456789" for c in core)
+    is_hex = bool(core) and not core.strip("0123456789abcdef")
+    if not SPECIAL.search(word):
+        return _own_of_classes(core.translate(CLASSES), is_hex)
+    digits = sum(map(core.count, "0123456789"))
+    return _own_features(
+        _shape(core),
+        len(core),
+        digits,
+        "@" in core,
+        core.count("."),
+        core[:4] if digits and core[:4].isalpha() else "",
+        m[0].lower() if (m := ASSIGNED.match(core)) else "",
+        is_hex,
+        digits > 0 and any(c.isalpha() for c in core),
+        word[:1] == "+",
+    )
+
+
+@lru_cache(1 << 16)
+def _own_of_classes(core: str, is_hex: bool) -> tuple[int, ...]:
+    """Those of a word that holds none of SPECIAL: its character classes decide."""
+    return _own_features(_collapsed(core[:64]), len(core), 0, False, core.count("."), "", "", is_hex, False, False)
+
+
+def _own_features(shape: str, size: int, digits: int, at: bool, dots: int, prefix: str, name: str, is_hex: bool, mixed: bool, plus: bool) -> tuple[int, ...]:
     named = [
         "b",
-        "s:" + _shape(core)[:6],
-        f"n:{min(len(core), 40) // 4}",
+        "s:" + shape[:6],
+        f"n:{min(size, 40) // 4}",
         f"d:{min(digits, 20)}",
-        f"all:{digits == len(core)}",
-        f"part:{4 * digits // max(1, len(core))}",
-        "@" if "@" in core else "no@",
-        f"dots:{min(core.count('.'), 4)}",
-        "p:" + core[:4] if core[:4].isalpha() else "p",
-        "a:" + m[0].lower() if (m := ASSIGNED.match(core)) else "a",
-        "hex" if core and all(c in "0123456789abcdef" for c in core) else "nohex",
-        f"mix:{any(c.isalpha() for c in core) and digits > 0}:{min(len(core), 40) // 8}",
-        "+" if word[:1] == "+" else "no+",
-        "l:" + before.strip(EDGES).lower()[-8:] if len(before) < 12 else "l",
-        "ls:" + _shape(before)[:5],
-        "rs:" + _shape(after)[:5],
+        f"all:{digits == size}",
+        f"part:{4 * digits // max(1, size)}",
+        "@" if at else "no@",
+        f"dots:{min(dots, 4)}",
+        "p:" + prefix if prefix else "p",
+        "a:" + name if name else "a",
+        "hex" if is_hex else "nohex",
+        f"mix:{mixed}:{min(size, 40) // 8}",
+        "+" if plus else "no+",
     ]
-    return [crc32(f.encode()) % FEATURES for f in named]
-
-
-def _runs(text: str) -> Iterator[list[tuple[int, int, list[int]]]]:
-    """Runs of neighbouring open words: (start, end, features) of each word."""
-    run: list[tuple[int, int, list[int]]] = []
-    last = -1
-    for m in OPEN_WORD.finditer(text):
-        gap = text[last : m.start()] if last >= 0 else "-"
-        if run and gap.strip(" \t\n\x0b\x0c\r"):
-            yield run
-            run = []
-        before = text[max(0, m.start() - 24) : m.start()].split()
-        after = text[m.end() : m.end() + 24].split()
-        run.append((m.start(), m.end(), _features(m[0], " ".join(before[-2:]) if before[-1:] == ["="] else before[-1] if before else "", after[0] if after else "")))
-        last = m.end()
-    if run:
-        yield run
+    return tuple(_feature(f) for f in named)
+
+
+def _name(before: str) -> int:
+    return crc32(b"l:" + before.strip(EDGES).lower()[-8:].encode()) % FEATURES if len(before) < 12 else _feature("l")
+
+
+def _left(before: str) -> tuple[int, ...]:
+    return _name(before), _feature("ls:" + _shape(before)[:5])
+
+
+def _right(after: str) -> tuple[int, ...]:
+    return (_feature("rs:" + _shape(after)[:5]),)
+
+
+def _before(words: list[str], at: int) -> str:
+    """The word before; a lone equals sign comes with the name before it."""
+    if at and words[at - 1] == "=":
+        return " ".join(w for w in words[max(0, at - 2) : at] if w)
+    return words[at - 1] if at else ""
+
+
+def _features(words: list[str], at: int) -> list[int]:
+    return [*_own(words[at]), *_left(_before(words, at)), *_right(words[at + 1] if at + 1 < len(words) else "")]
 
 
 class ChainModel:
@@ -195,6 +274,93 @@ class ChainModel:
         return [out[k, : size[k]] for k in range(n)]
 
 
+#: Words that a vocabulary may hold before it is emptied, and words that are scored together.
+CACHE_TERMS, CHUNK_WORDS = 1 << 17, 1 << 16
+
+
+class Vocabulary(dict):
+    """Number of each word seen. ``gaps``: by how much label 0 leads each other label through the word's own features, as
+    the word before, and as the word after; ``need``: the most that transitions can take from that lead."""
+
+    def __init__(self, model: ChainModel):
+        move = model.move
+        self.lead = model.emit[:, :1] - model.emit[:, 1:]
+        self.need = (move[:, 1:] - move[:, :1]).max(axis=0) + (move[1:] - move[:1]).max(axis=1) + 1e-9
+        self.empty()
+
+    def empty(self) -> None:
+        self.clear()
+        self.gaps = np.zeros((3, 0, self.lead.shape[1]))
+        self.kinds: dict[tuple[int, ...], int] = {}
+        self.new: list[tuple[int, int, int, int]] = []
+
+    def __missing__(self, word: str) -> int:
+        shape = _shape(word)[:5]
+        kind = self.kinds.setdefault(_own(word), len(self.kinds))
+        self.new.append((kind, _name(word), _feature("ls:" + shape), _feature("rs:" + shape)))
+        k = self[word] = len(self)
+        return k
+
+    def open_words(self, words: list[str]) -> np.ndarray:
+        """Places of words that may have another label than 0 on a best path; the empty word stands between texts.
+
+        Every word is scored. Where label 0 leads by more than any transitions can make up, it is on
+        every best path, so that the words between such places can be decoded apart.
+        """
+        ids = np.fromiter(map(self.__getitem__, words), dtype=np.int64, count=len(words))
+        before = np.roll(ids, 1)
+        for k in np.flatnonzero(before == self["="]):
+            before[k] = self[_before(words, k)]
+        if self.new:
+            kind, name, left, right = np.array(self.new).T
+            own = self.lead[np.array(list(self.kinds))].sum(axis=1)
+            self.gaps = np.concatenate([self.gaps, np.stack([own[kind], self.lead[name] + self.lead[left], self.lead[right]])], axis=1)
+            self.new = []
+        led = self.gaps[0][ids] + self.gaps[1][before] + self.gaps[2][np.roll(ids, -1)]
+        return np.flatnonzero((led <= self.need).any(axis=1) & (ids != self[""]))
+
+
+def _chunks(texts: list[str]) -> Iterator[tuple[list[int], list[str]]]:
+    """Texts by number, and their words with an empty one before each text and after the last."""
+    held: list[int] = []
+    words = [""]
+    for k, text in enumerate(texts):
+        held.append(k)
+        words += WORDS.findall(text)
+        words.append("")
+        if len(words) >= CHUNK_WORDS:
+            yield held, words
+            held, words = [], [""]
+    if held:
+        yield held, words
+
+
+def _runs(texts: list[str], vocabulary: Vocabulary) -> Iterator[tuple[int, list[tuple[int, int, list[int]]]]]:
+    """(number of the text, run) for runs of neighbouring open words: (start, end, features) of each word."""
+    for held, words in _chunks(texts):
+        if len(vocabulary) >= CACHE_TERMS:
+            vocabulary.empty()
+        vocabulary[""]
+        at = vocabulary.open_words(words)
+        if not len(at):
+            continue
+        edges = [k for k, w in enumerate(words) if not w]
+        which, place = -1, []
+        run: list[tuple[int, int, list[int]]] = []
+        last = -2
+        for k in at.tolist():
+            if run and k != last + 1:
+                yield held[which], run
+                run = []
+            if which < 0 or k > edges[which + 1]:
+                which = bisect_left(edges, k) - 1
+                place = [m.span() for m in WORDS.finditer(texts[held[which]])]
+            run.append((*place[k - edges[which] - 1], _features(words, k)))
+            last = k
+        if run:
+            yield held[which], run
+
+
 def _log_sum(x: np.ndarray, axis: int) -> np.ndarray:
     top = x.max(axis=axis, keepdims=True)
     return (top + np.log(np.exp(x - top).sum(axis=axis, keepdims=True))).squeeze(axis)
@@ -204,9 +370,9 @@ def train(table: list[tuple[str, list[tuple[int, int, str]]]], steps: int = 120,
     """Maximum likelihood by gradient ascent; expected counts come from the forward and backward sums of each run."""
     runs, truth = [], []
     for text, spans in table:
-        for run in _runs(text):
-            runs.append([f for _, _, f in run])
-            truth.append([next((LABELS.index(k) for s, e, k in spans if s < stop and start < e), 0) for start, stop, _ in run])
+        words = WORDS.findall(text)
+        runs.append([_features(words, k) for k in range(len(words))])
+        truth.append([next((LABELS.index(k) for s, e, k in spans if s < m.end() and m.start() < e), 0) for m in WORDS.finditer(text)])
     n_labels = len(LABELS)
     model = ChainModel(np.zeros((FEATURES, n_labels)), np.zeros((n_labels, n_labels)))
     size = np.array([len(r) for r in runs])
@@ -299,10 +465,10 @@ def _trimmed(text: str, start: int, end: int, kind: str) -> tuple[int, int]:
 BATCH_CELLS = 1 << 18
 
 
-def find_spans(texts: list[str], model: ChainModel) -> list[tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]]:
-    """Per text: base spans, and all spans. The model adds spans that touch no base span."""
+def find_spans(texts: list[str], model: ChainModel, vocabulary: Vocabulary | None = None) -> list[tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]]:
+    """Per text: base spans, and all spans. The model labels every word and adds spans that touch no base span."""
     base = [base_spans(t) for t in texts]
-    runs = [(k, run) for k, t in enumerate(texts) for run in _runs(t)]
+    runs = list(_runs(texts, Vocabulary(model) if vocabulary is None else vocabulary))
     runs.sort(key=lambda r: len(r[1]))
     added: list[list[tuple[str, int, int]]] = [[] for _ in texts]
     at = 0
@@ -361,8 +527,9 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     model = docs.sparkSession.sparkContext.broadcast(default_model())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = Vocabulary(model.value)
         for batch in batches:
-            found = find_spans([t.as_py() or "" for t in batch.column("text")], model.value)
+            found = find_spans([t.as_py() or "" for t in batch.column("text")], model.value, vocabulary)
             counts = [pa.array([sum(s[0] == kind for s in own) for own, _ in found], pa.int64()) for kind in BASE]
             digest = [hashlib.sha256(written(own).encode()).hexdigest() for own, _ in found]
             secret = pa.array([sum(s[0] == "secret" for s in every) for _, every in found], pa.int64())
@@ -385,10 +552,11 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     place = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = Vocabulary(model.value)
         for batch in batches:
             texts = [t.as_py() for t in batch.column(place)]
             out: list[str | None] = []
-            for text, (_, spans) in zip(texts, find_spans([t or "" for t in texts], model.value)):
+            for text, (_, spans) in zip(texts, find_spans([t or "" for t in texts], model.value, vocabulary)):
                 if text is None or not spans:
                     out.append(text)
                     continue

@@ -131,6 +131,36 @@ def test_viterbi_is_best_path():
         assert tuple(got) == max(product(range(6), repeat=len(run)), key=score)
 
 
+def test_secrets_of_letters_alone():
+    """Cued words without a digit or '@' are decoded too; the same words in prose are not secrets."""
+    cued = [("password={} x", "CorrectHorseBattery"), ("the passwd: {} here", "hunterhunter"), ('token = "{}" now', "abcdefghqwertzuiop"), ("bearer {} sent", "abcDEFghiJKLmnoPQRstuVWXyzABcdef")]
+    texts = [line.format(word) for line, word in cued] + ["The password was changed by John Smith, see the token economy.", "CorrectHorseBattery and hunterhunter are long words"]
+    found = pii.find_spans(texts, pii.default_model())
+    assert [[(k, t[s:e]) for k, s, e in every] for t, (_, every) in zip(texts, found)] == [[("secret", w)] for _, w in cued] + [[], []]
+
+
+def test_every_word_is_decoded():
+    """Runs between certain words give the labels that decoding whole texts gives, for the trained and for random models."""
+    rnd, numbers = random.Random(5), np.random.default_rng(5)
+    table = [t for t, _ in pii.labelled_table(seed=9)]
+    texts = ["", " \n", "="] + [" ".join(rnd.choices(table, k=rnd.randint(1, 6))) + rnd.choice(["", " =", "\n= x"]) for _ in range(80)]
+    models = [pii.default_model()]
+    for bias in (4, 9):
+        emit = numbers.normal(size=(pii.FEATURES, 6))
+        emit[pii._feature("b"), 0] += bias
+        models.append(pii.ChainModel(emit, numbers.normal(size=(6, 6))))
+    for model in models:
+        want, got, seen = set(), set(), 0
+        for n, text in enumerate(texts):
+            if words := pii.WORDS.findall(text):
+                labels = model.viterbi([[pii._features(words, k) for k in range(len(words))]])[0]
+                want |= {(n, *m.span(), int(y)) for m, y in zip(pii.WORDS.finditer(text), labels) if y}
+        for n, run in pii._runs(texts, pii.Vocabulary(model)):
+            seen += len(run)
+            got |= {(n, s, e, int(y)) for (s, e, _), y in zip(run, model.viterbi([[f for _, _, f in run]])[0]) if y}
+        assert got == want and want and seen < sum(len(pii.WORDS.findall(t)) for t in texts)
+
+
 @needs_tables
 def test_redaction(spark):
     docs = spark.read.parquet(f"{MORE}/documents.parquet")
