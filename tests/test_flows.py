@@ -119,6 +119,32 @@ def test_value_functions(spark):
     assert rp.choose_value_functions(rows) == {"ounces": "strip_unit", "city": "upper"}
 
 
+def test_query_tests_functions_on_all_examples(spark, monkeypatch):
+    """The query hands on every example of the chosen rows, and its gapped table would let no function pass."""
+    from workload import fixtures as fx
+    from workload import repair_queries as rq
+
+    choose, seen = rp.choose_value_functions, []
+    monkeypatch.setattr(rq.rp, "choose_value_functions", lambda examples: seen.append(examples) or choose(examples))
+    sf = "/root/testdata/sf0.001"
+    rq.value_function_repair(spark, sf)
+    clean = fx.priority_clean(spark, sf)
+    every = rp.repair_examples(fx.priority_formatted(clean), clean, rq._chosen(clean), "row_id", ["status", "priority"])
+    assert sorted(seen[0].collect()) == sorted(every.collect()) and choose(every) == {"priority": "strip_unit_upper"}
+    assert choose(rq._examples(spark, sf)) == {}
+
+
+def test_vaegain_query_is_fully_trained(spark, monkeypatch):
+    from cellsmith.operators.adversarial import VaeGainImputer
+    from workload import impute_queries as iq
+
+    made = []
+    monkeypatch.setattr(VaeGainImputer, "fit_transform", lambda self, *rows: made.append(self))
+    iq.vaegain_impute(spark, "/root/testdata/sf0.001")
+    default = VaeGainImputer(iq.C, "row_id")
+    assert [(m.batch_size, m.epoch, m.rounds, m.learning_rate) for m in made] == [(default.batch_size, default.epoch, default.rounds, default.learning_rate)]
+
+
 def test_embedding_is_normalised(spark):
     import math
 

@@ -152,7 +152,8 @@ def route_columns_query(spark, sf):
 def value_function_repair(spark, sf):
     clean = fx.priority_clean(spark, sf)
     dirty = fx.priority_dirty(clean)
-    chosen = rp.choose_value_functions(_examples(spark, sf).filter("dirty <> 'null'"))
+    examples = rp.repair_examples(fx.priority_formatted(clean), clean, _chosen(clean), "row_id", ["status", "priority"])
+    chosen = rp.choose_value_functions(examples)
     rows = dirty.join(fx.priority_mask(clean).select("row_id", F.col("priority").alias("_flag")), "row_id")
     expression = rp.VALUE_FUNCTIONS[chosen["priority"]]
     return rp.apply_value_function(rows, "priority", F.col("_flag"), expression).drop("_flag")
