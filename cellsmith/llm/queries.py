@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellsmith.llm import bpe, chat, html_extract, mixing, ngram_join, pii, quality_rules, ranking, sharding, simhash
+from cellsmith.llm import bpe, chat, html_extract, infill, mixing, ngram_join, pii, quality_rules, ranking, sharding, simhash
 
 QUERIES = {}
 ORACLES = {}
@@ -164,3 +164,41 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_html_extract")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract_pages(read(spark, sf_dir, "pages"))
+
+
+_HEX = "CAST('0x' || substr(h, {}, 8) AS BIGINT)"
+_JOINED = "coalesce(array_to_string({}, ''), '')"
+
+
+@query(
+    "op13_infill",
+    f"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS units,
+         sha256('1:' || CAST(doc_id AS VARCHAR)) AS h
+  FROM documents),
+c AS (
+  SELECT *, len(units) AS n, {_HEX.format(1)} % (len(units) + 1) AS x, {_HEX.format(9)} % (len(units) + 1) AS y,
+         CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR {_HEX.format(17)} % 100 >= 90 THEN 'plain'
+              WHEN {_HEX.format(25)} % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM d),
+p AS (
+  SELECT *, {_JOINED.format("units[1:least(x, y)]")} AS pre, {_JOINED.format("units[least(x, y) + 1:greatest(x, y)]")} AS mid,
+         {_JOINED.format("units[greatest(x, y) + 1:n]")} AS suf
+  FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM p""",
+)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = infill.fill_in_middle(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return made.select(
+        "doc_id",
+        F.col("n_units").alias("n"),
+        "form",
+        "prefix_chars",
+        "middle_chars",
+        F.sha2(F.col("output").cast("binary"), 256).alias("output_sha256"),
+        F.sha2(infill.restore(F.col("output"), F.col("form")).cast("binary"), 256).alias("restored_sha256"),
+    )
