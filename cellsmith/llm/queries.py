@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellsmith.llm import bpe, chat, html_extract, infill, mixing, ngram_join, pii, quality_rules, ranking, sharding, simhash
+from cellsmith.llm import bpe, chat, divergence, html_extract, infill, mixing, ngram_join, pii, quality_rules, ranking, sharding, simhash
 
 QUERIES = {}
 ORACLES = {}
@@ -166,6 +166,45 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract_pages(read(spark, sf_dir, "pages"))
 
 
+def _share_sql(n: str, total: str, terms: str, audit: divergence.Audit) -> str:
+    return f"1 + {audit.scale}::HUGEINT * ({n} + {audit.prior}) // ({total} + {audit.prior} * {terms})"
+
+
+def _audit_sql(audit: divergence.Audit) -> str:
+    """Every term of every group, present or not."""
+    apart = "((p - q) * (p - q) // (p + q))"
+    return f"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         translate(unnest(regexp_extract_all(coalesce(text, ''), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')), '{divergence.UPPER}', '{divergence.LOWER}') AS term
+  FROM documents),
+v AS (SELECT lang, term, count(*)::HUGEINT AS n FROM d GROUP BY ALL HAVING count(DISTINCT r) >= {audit.min_df}),
+l AS (SELECT lang, sum(n) AS total, count(*)::HUGEINT AS terms FROM v GROUP BY lang),
+g AS (SELECT DISTINCT coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents),
+c AS (SELECT lang, source, term, count(*)::HUGEINT AS n FROM d GROUP BY ALL),
+k AS (SELECT g.lang, g.source, v.term, coalesce(c.n, 0) AS n, v.n AS lang_n FROM g JOIN v USING (lang) LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = v.term),
+s AS (SELECT lang, source, sum(n) AS total FROM k GROUP BY ALL),
+p AS (SELECT k.*, {_share_sql("k.n", "s.total", "l.terms", audit)} AS p, {_share_sql("k.lang_n", "l.total", "l.terms", audit)} AS q
+      FROM k JOIN s USING (lang, source) JOIN l USING (lang)),
+e AS (SELECT a.lang, a.source, b.source AS item, a.p, b.p AS q FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source),
+m AS (SELECT lang, source, item, sum({apart}) AS value FROM e GROUP BY ALL),
+u AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(m.value, 0) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN m ON m.lang = a.lang AND m.source = a.source AND m.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, {apart} FROM p WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank
+FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM u)
+WHERE part = 'pair' OR rank <= {audit.top}"""
+
+
+AUDIT = divergence.Audit()
+
+
+@query("op12_divergence", _audit_sql(AUDIT))
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit_sources(read(spark, sf_dir, "documents"), AUDIT)
+
+
 _HEX = "CAST('0x' || substr(h, {}, 8) AS BIGINT)"
 _JOINED = "coalesce(array_to_string({}, ''), '')"
 
