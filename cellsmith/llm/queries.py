@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cellsmith.llm import bpe, chat, divergence, html_extract, infill, mixing, ngram_join, pii, quality_rules, ranking, sharding, simhash
+from cellsmith.llm import bpe, chat, divergence, html_extract, infill, mixing, ngram_join, pii, quality_rules, ranking, sharding, simhash, trie_dedup
 
 QUERIES = {}
 ORACLES = {}
@@ -166,6 +166,17 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract_pages(read(spark, sf_dir, "pages"))
 
 
+@query(
+    "op11_trie_dedup",
+    """
+SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))""",
+)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = trie_dedup.mark_duplicates(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return made.withColumnRenamed("text_digest", "text_sha256")
+
+
 def _share_sql(n: str, total: str, terms: str, audit: divergence.Audit) -> str:
     return f"1 + {audit.scale}::HUGEINT * ({n} + {audit.prior}) // ({total} + {audit.prior} * {terms})"
 
