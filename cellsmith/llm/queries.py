@@ -140,7 +140,7 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_bpe")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     file = public_tokenizers.path("byte_bpe_50k.json")
-    decoded = bpe.decode_documents(bpe.encode_documents(read(spark, sf_dir, "documents"), file), file)
+    decoded = bpe.round_trip(read(spark, sf_dir, "documents"), file)
     return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
