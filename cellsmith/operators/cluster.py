@@ -15,7 +15,8 @@ from pyspark.sql import types as T
 from cellsmith.functions.scalars import name
 from cellsmith.operators.components import connected_components
 from cellsmith.operators.lookup import lookup_join
-from cellsmith.operators.similarity import _squared, _stack, eps_links, split_grid
+from cellsmith.operators.metric import split_grid, squared, stack
+from cellsmith.operators.similarity import cell_links, eps_links, micro_cells
 from cellsmith.session import checkpointed
 
 MAX_K = 10
@@ -101,7 +102,8 @@ def eps_components(points: DataFrame, key: str, eps: float = 0.5, vec: str = "ve
     """Density clusters with at least two members: components of the eps-graph; noise gets -1.
 
     Cluster id = least row id of the component. Equal vectors are linked through
-    their first row, so copies never meet in pairs.
+    their first row, and vectors of a cell of half of eps across through its first
+    one, so a dense place is one node and only neighbouring cells meet.
     """
     copies = F.col(weight) if weight else F.lit(1)
     rows = points.select(name(key).alias("id"), F.col(vec).alias("vec"), F.xxhash64(F.col(vec)).alias("_h"), copies.alias("w"))
@@ -109,12 +111,24 @@ def eps_components(points: DataFrame, key: str, eps: float = 0.5, vec: str = "ve
     dims = _dims(firsts, "vec")
     if not dims:
         return rows.select(F.col("id").alias(key), F.col("id").alias("cluster"))
-    found = connected_components(eps_links(firsts.select("id", "vec"), eps, dims))
-    labelled = firsts.join(found, F.col("id") == F.col("node"), "left").select(
+    cells, members = micro_cells(firsts.select("id", "vec"), eps, dims)
+    found = checkpointed(connected_components(eps_links(cells.select(F.col("node").alias("id"), F.col("rep").alias("vec")), eps, dims)))
+    if not cells.filter("n > 1").isEmpty():
+        more = cell_links(cells, members, found, eps, dims)
+        whole = cells.select("node").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        ends = lambda node, end: whole.select(F.col("node").alias(node), F.col("component").alias(end))
+        between = more.join(ends("a", "_a"), "a").join(ends("b", "_b"), "b").select(F.col("_a").alias("a"), F.col("_b").alias("b"))
+        merged = connected_components(between).select(F.col("node").alias("component"), F.col("component").alias("_end"))
+        found = whole.join(merged, "component", "left").select("node", F.coalesce("_end", "component").alias("component"))
+    sizes = found.join(cells.select("node", "n"), "node").groupBy("component").agg(F.sum("n").alias("_w"))
+    told = found.join(sizes, "component").filter("_w > 1")
+    ids = members.select("id", "node")
+    owned = lookup_join(ids, told.withColumnRenamed("component", "_c"), ["node"], "_w")
+    labelled = firsts.join(owned.select("id", "_c"), "id", "left").select(
         "_h",
         "vec",
         "copies",
-        F.when(F.col("component").isNotNull(), F.col("component"))
+        F.when(F.col("_c").isNotNull(), F.col("_c"))
         .when(F.col("copies") > 1, F.col("id"))
         .otherwise(F.lit(-1).cast(firsts.schema["id"].dataType))
         .alias("cluster"),
@@ -180,11 +194,11 @@ def medoids(points: DataFrame, key: str, cluster: str = "cluster", vec: str = "v
     def partial(grid_key, qpdf: pd.DataFrame, ipdf: pd.DataFrame) -> pd.DataFrame:
         if not len(qpdf) or not len(ipdf):
             return pd.DataFrame({"c": [], "id": [], "total": []})
-        b, wb = _stack(ipdf["ivec"], dims), ipdf["w"].to_numpy()
+        b, wb = stack(ipdf["ivec"], dims), ipdf["w"].to_numpy()
         sums = []
         for start in range(0, len(qpdf), 256):
-            a = _stack(qpdf["qvec"].iloc[start : start + 256], dims)
-            d2 = _squared(a, b)
+            a = stack(qpdf["qvec"].iloc[start : start + 256], dims)
+            d2 = squared(a, b)
             close = d2 <= 1e-6 * (1.0 + (a * a).sum(1)[:, None])
             row, col = np.nonzero(close)
             d2[row, col] = ((a[row] - b[col]) ** 2).sum(1)
