@@ -4,22 +4,23 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from cellsmith.functions.scalars import name, number_or_null, total
+from cellsmith.operators.bands import nearest_donors
 from cellsmith.operators.encode import decode_column, encode_columns, label_dictionary
 from cellsmith.operators.lookup import lookup_join
-from cellsmith.operators.similarity import BLOCK_ROWS, knn_join, split_grid
-from cellsmith.session import checkpointed
 from cellsmith.sources.tables import blank_by_mask, is_numeric
 
-MAX_PATTERNS = 16
-DIGITS = 6
+
+def fresh(taken: Sequence[str], base: str) -> str:
+    """A column name that the table does not use."""
+    used = {c.lower() for c in taken}
+    while base.lower() in used:
+        base += "_"
+    return base
 
 
 def _family(field: T.StructField) -> str:
@@ -66,123 +67,21 @@ def knn_fill(df: DataFrame, key: str, columns: Sequence[str], k: int = 5) -> Dat
 
     Distance = sqrt(d / shared * sum of squared gaps) over the coordinates both
     rows have; donors must hold the target cell; no donor gives the column mean.
-    Rows with the same missing pattern share one Euclidean space, so the exact
-    blocked neighbour join applies to each (target, pattern, pattern) space.
+    Equal rows are asked once. One tree of bands serves every pattern of gaps
+    (``bands.py``); the result is exact.
     """
     columns = list(columns)
-    d = len(columns)
     number = [number_or_null(name(c)) for c in columns]
-    pattern = F.concat(*[v.isNotNull().cast("int").cast("string") for v in number])
-    rows = df.select(name(key).alias("id"), F.array(*number).alias("x"), pattern.alias("pattern"))
+    cells = fresh(df.columns, "_x")
+    rows = df.withColumn(cells, F.array(*number))
     means = df.agg(*[F.avg(v).alias(f"m{i}") for i, v in enumerate(number)]).first()
-    few = rows.select("pattern").distinct().limit(MAX_PATTERNS + 1).collect()
-    near = _by_pattern(rows, sorted(r["pattern"] for r in few), d, k) if len(few) <= MAX_PATTERNS else _by_blocks(rows, d, k)
-    if near is None:
-        joined = df.select("*", *[F.lit(None).cast("double").alias(f"_fill{t}") for t in range(d)])
-    else:
-        best = F.row_number().over(Window.partitionBy("qid", "target").orderBy("d2", "iid"))
-        picked = checkpointed(near.withColumn("rn", best).filter(F.col("rn") <= k).select("qid", "target", "iid"))
-        uses = picked.groupBy("iid").agg(F.count("*").alias("links"))
-        donors = lookup_join(picked, rows.select(F.col("id").alias("iid"), "x").join(uses, "iid"), ["iid"], "links", "inner")
-        filled = donors.withColumn("v", F.element_at("x", F.col("target") + 1)).groupBy("qid").agg(
-            *[F.avg(F.when(F.col("target") == t, F.col("v"))).alias(f"_fill{t}") for t in range(d)]
-        )
-        joined = df.join(filled, name(key) == F.col("qid"), "left")
+    found = nearest_donors(rows.select(name(key).alias("id"), F.col(cells).alias("x")), len(columns), k)
+    fills, weight = fresh(rows.columns, "_fills"), fresh(rows.columns, "_n")
+    joined = lookup_join(rows, found.select(F.col("x").alias(cells), F.col("fills").alias(fills), F.col("n").alias(weight)), [cells], weight)
     spot = {c: i for i, c in enumerate(columns)}
     return joined.select(
-        *[
-            F.coalesce(number[spot[c]], F.col(f"_fill{spot[c]}"), F.lit(means[spot[c]])).alias(c)
-            if c in spot
-            else name(c)
-            for c in df.columns
-        ]
-    )
-
-
-def _by_pattern(rows: DataFrame, patterns: list[str], d: int, k: int) -> DataFrame | None:
-    """Neighbours (qid, target, iid, d2) when there are few missing patterns: one Euclidean space per combination."""
-    spaces = [
-        (target, q, p, [i for i in range(d) if q[i] == "1" and p[i] == "1"])
-        for target in range(d)
-        for q in patterns
-        if q[target] == "0"
-        for p in patterns
-        if p[target] == "1"
-    ]
-    spaces = [s for s in spaces if s[3]]
-    if not spaces:
-        return None
-    by_query: dict[str, list] = {}
-    by_donor: dict[str, list] = {}
-    for code, (_, q, p, shared) in enumerate(spaces):
-        weight = (d / len(shared)) ** 0.5
-        scale = [weight if i in shared else 0.0 for i in range(d)]
-        by_query.setdefault(q, []).append((code, scale))
-        by_donor.setdefault(p, []).append((code, scale))
-
-    def spread(side: dict[str, list]) -> DataFrame:
-        entry = F.lit(None).cast("array<struct<space:bigint,scale:array<double>>>")
-        for value, items in side.items():
-            built = F.array(
-                *[
-                    F.struct(F.lit(c).cast("bigint").alias("space"), F.array(*[F.lit(float(w)) for w in s]).alias("scale"))
-                    for c, s in items
-                ]
-            )
-            entry = F.when(F.col("pattern") == value, built).otherwise(entry)
-        opened = rows.filter(F.col("pattern").isin(*side)).select("id", "x", F.explode(entry).alias("e"))
-        vec = F.zip_with("x", "e.scale", lambda a, w: F.coalesce(a, F.lit(0.0)) * w)
-        return opened.select(F.col("e.space").alias("space"), "id", vec.alias("vec"))
-
-    near = knn_join(spread(by_query), spread(by_donor), k, dims=d, digits=DIGITS)
-    target = F.array(*[F.lit(t) for t, _, _, _ in spaces])[F.col("space").cast("int")]
-    return near.select("qid", target.alias("target"), "iid", "d2")
-
-
-def _by_blocks(rows: DataFrame, d: int, k: int) -> DataFrame:
-    """The same for many missing patterns, where no shared space exists: bounded blocks of rows with gaps
-
-    against bounded blocks of all rows; a block returns the best k per missing cell.
-    """
-    id_type = rows.schema["id"].dataType
-    queries = rows.filter(F.contains("pattern", F.lit("0")) & F.contains("pattern", F.lit("1")))
-    one = F.lit(0).alias("g")
-    left, right, grid = split_grid(
-        queries.select(one, F.col("id").alias("qid"), F.col("x").alias("qx")),
-        rows.select(one, F.col("id").alias("iid"), F.col("x").alias("ix")),
-        ["g"],
-        "qid",
-        "iid",
-        BLOCK_ROWS,
-    )
-
-    def block(key, qpdf: pd.DataFrame, ipdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(qpdf) and len(ipdf):
-            b = np.array([[np.nan if v is None else v for v in r] for r in ipdf["ix"]], dtype=float)
-            seen_b, filled_b = ~np.isnan(b), np.nan_to_num(b)
-            order, ids = pd.factorize(ipdf["iid"], sort=True)[0], ipdf["iid"].to_numpy()
-            for qid, qx in zip(qpdf["qid"], qpdf["qx"]):
-                a = np.array([np.nan if v is None else v for v in qx], dtype=float)
-                both = seen_b & ~np.isnan(a)[None, :]
-                shared = both.sum(1)
-                gap = np.where(both, filled_b - np.nan_to_num(a)[None, :], 0.0)
-                d2 = np.round(d / np.maximum(shared, 1) * (gap * gap).sum(1), DIGITS)
-                for target in np.flatnonzero(np.isnan(a)):
-                    usable = np.flatnonzero(seen_b[:, target] & (shared > 0))
-                    best = usable[np.lexsort((order[usable], d2[usable]))[:k]]
-                    out.append(pd.DataFrame({"qid": qid, "target": int(target), "iid": ids[best], "d2": d2[best]}))
-        return pd.concat(out) if out else pd.DataFrame({"qid": [], "target": [], "iid": [], "d2": []})
-
-    schema = T.StructType(
-        [
-            T.StructField("qid", id_type),
-            T.StructField("target", T.IntegerType()),
-            T.StructField("iid", id_type),
-            T.StructField("d2", T.DoubleType()),
-        ]
+        *[F.coalesce(number[spot[c]], F.get(fills, F.lit(spot[c])), F.lit(means[spot[c]])).alias(c) if c in spot else name(c) for c in df.columns]
     )
-    return left.groupBy(*grid).cogroup(right.groupBy(*grid)).applyInPandas(block, schema)
 
 
 def baseline_correct(

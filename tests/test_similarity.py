@@ -5,8 +5,9 @@ from pyspark.sql import functions as F
 from cellsmith.operators.cluster import elbow_costs, eps_components, hierarchical_clusters, knee, medoids, nearest_to_mean, repair_candidates, clean_representatives
 from cellsmith.operators.components import connected_components
 from cellsmith.operators.detect import cut_by_share, isolation_scores, lof_scores
-from cellsmith.operators import fill
+from cellsmith.operators import bands
 from cellsmith.operators.fill import baseline_correct, column_modes, knn_fill
+from cellsmith.operators import metric
 from cellsmith.operators.similarity import knn_join
 
 
@@ -147,26 +148,51 @@ def test_lof_matches_brute_force(spark):
     assert [got[i] for i in range(60)] == pytest.approx(want, rel=1e-6)
 
 
-@pytest.mark.parametrize("most", [16, 1])
-def test_knn_fill_matches_brute_force(spark, monkeypatch, most):
-    monkeypatch.setattr(fill, "MAX_PATTERNS", most)
-    monkeypatch.setattr(fill, "BLOCK_ROWS", 32)
-    rng = np.random.default_rng(13)
-    x = np.round(rng.normal(size=(80, 3)), 2)
-    x[rng.uniform(size=x.shape) < 0.25] = np.nan
-    x[0] = np.nan
-    rows = spark.createDataFrame([(i, *[None if np.isnan(v) else float(v) for v in r]) for i, r in enumerate(x)], "id long, a double, b double, c double")
-    want = x.copy()
+def plain_fill(x, k=5):
+    """Every row against every other."""
+    want, d = x.copy(), x.shape[1]
     for i, t in zip(*np.nonzero(np.isnan(x))):
         near = []
         for j in range(len(x)):
             both = ~np.isnan(x[i]) & ~np.isnan(x[j])
             if not np.isnan(x[j, t]) and both.any():
-                near.append((round(3 / both.sum() * ((x[i] - x[j])[both] ** 2).sum(), 6), j))
-        best = [j for _, j in sorted(near)[:5]]
+                near.append((round(d / both.sum() * ((x[i] - x[j])[both] ** 2).sum(), 6), j))
+        best = [j for _, j in sorted(near)[:k]]
         want[i, t] = np.mean([x[j, t] for j in best]) if best else np.nanmean(x[:, t])
-    got = {r["id"]: [r["a"], r["b"], r["c"]] for r in knn_fill(rows, "id", ["a", "b", "c"]).collect()}
-    assert np.allclose([got[i] for i in range(len(x))], want)
+    return want
+
+
+@pytest.mark.parametrize("leaf,shared", [(2048, True), (8, True), (8, False)])
+@pytest.mark.parametrize("d", [3, 5])
+def test_knn_fill_matches_brute_force(spark, monkeypatch, leaf, shared, d):
+    """Any pattern of gaps, rows without any cell, ties, and a third of the rows equal."""
+    monkeypatch.setattr(bands.build_tree, "__defaults__", (leaf,))
+    monkeypatch.setattr(bands.nearest_donors, "__defaults__", (leaf,))
+    if not shared:
+        monkeypatch.setattr(metric, "LEVEL_BYTES", 0)
+    rng = np.random.default_rng(13)
+    x = np.round(rng.normal(size=(90, d)), 1) * [1, 1, 10, 0.1, 1][:d]
+    x[rng.uniform(size=x.shape) < 0.25] = np.nan
+    x[0] = np.nan
+    x[60:] = x[7]
+    x[60:, 0] = np.nan
+    names = list("abcde")[:d]
+    rows = spark.createDataFrame([(i, *[None if np.isnan(v) else float(v) for v in r]) for i, r in enumerate(x)], "id long, " + ", ".join(f"{c} double" for c in names))
+    got = {r["id"]: [r[c] for c in names] for r in knn_fill(rows, "id", names).collect()}
+    assert np.allclose([got[i] for i in range(len(x))], plain_fill(x))
+
+
+def test_knn_fill_visits_few_leaves(spark):
+    """The leaves that a row with a gap is sent to do not grow with the rows."""
+    sent = {}
+    for n in (1000, 8000):
+        x = spark.range(n).select(F.col("id").alias("iid"), F.array(*[F.round(100 * F.rand(i), 4) for i in (1, 2)], F.when(F.col("id") % 10 > 0, F.rand(3))).alias("x"))
+        leaves, levels = bands.build_tree(x, 3, 32)
+        assert len(levels) >= 2 and leaves.count() == n
+        asked = leaves.filter(F.get("x", F.lit(2)).isNull()).select("space", F.lit(0).cast("bigint").alias("node"), F.col("iid").alias("qid"), "x", F.lit(3e4 / n).alias("radius"))
+        near = bands._descend(asked, levels, 3, asked.schema["qid"].dataType, False)
+        sent[n] = near.count() / asked.count()
+    assert sent[8000] < 1.5 * sent[1000] and sent[8000] < 20
 
 
 def test_mode_ties_take_the_smallest(spark):
@@ -204,3 +230,50 @@ def test_empty_points(spark):
     assert eps_components(none, "id").collect() == []
     clustered = hierarchical_clusters(none, 3)
     assert nearest_to_mean(clustered, "id").collect() == [] and medoids(clustered, "id").collect() == []
+
+
+@pytest.mark.parametrize("shared", [True, False])
+def test_index_levels_and_copies(spark, monkeypatch, shared):
+    """A deep tree gives the same neighbours, and the leaves a query is sent to do not grow with the rows."""
+    monkeypatch.setattr(metric, "FAN", 8)
+    if not shared:
+        monkeypatch.setattr(metric, "LEVEL_BYTES", 0)
+    sent = {}
+    for n in (400, 1600):
+        x = points(21, n, 2)
+        rows = frame(spark, x).withColumnRenamed("id", "iid").withColumn("space", F.lit(0).cast("bigint"))
+        tree = metric.build_index(rows, 2, rows=16)
+        assert len(tree.levels) >= 2 and tree.leaves.count() == n
+        near = metric.leaves_within(tree, rows.withColumnRenamed("iid", "qid"), F.lit(3.0 / n**0.5))
+        sent[n] = near.count() / n
+    assert sent[1600] < 1.5 * sent[400] and sent[1600] < 20
+    got = collected(knn_join(frame(spark, x[:50]), frame(spark, x), 4, 2, rows=16))
+    assert {i: [a for a, _ in v] for i, v in got.items()} == {i: [a for a, _ in v] for i, v in brute(x[:50], x, 4).items()}
+
+
+def test_index_keeps_spaces_apart(spark):
+    x = points(22, 80, 2)
+    rows = frame(spark, x).withColumn("space", F.col("id") % 3)
+    got = collected(knn_join(rows, rows, 3, 2, rows=8))
+    for i in range(80):
+        own = [j for j in range(80) if j % 3 == i % 3]
+        assert [a for a, _ in got[i]] == [own[j] for j, _ in brute(x[[i]], x[own], 3)[0]]
+
+
+@pytest.mark.parametrize("eps", [0.05, 0.3, 1.0])
+def test_eps_components_of_dense_cells(spark, eps):
+    """Groups so tight that cells hold many points, with gaps of about eps that only their outer members bridge."""
+    rng = np.random.default_rng(4)
+    centres = np.array([[0, 0], [1.22 * eps, 0], [2.5 * eps, 0.1 * eps], [0, 1.3 * eps], [9, 9], [9, 9 + 1.6 * eps]])
+    x = np.vstack([c + rng.uniform(-0.2 * eps, 0.2 * eps, size=(30, 2)) for c in centres] + [[[20.0, 20.0]]])
+    got = {r["id"]: r["cluster"] for r in eps_components(frame(spark, x), "id", eps).collect()}
+    assert got == components(x, eps)
+
+
+def test_eps_components_of_one_dense_place(spark):
+    """A million distinct points in one cell, a chain that leaves it, and noise."""
+    dense = spark.range(1_000_000).select("id", F.array((F.col("id") % 1000) * 1e-5, F.floor(F.col("id") / 1000) * 1e-5).alias("vec"))
+    chain = [(1_000_000 + i, [0.01 + 0.4 * (i + 1), 0.0]) for i in range(5)] + [(2_000_000, [50.0, 50.0])]
+    rows = dense.unionByName(spark.createDataFrame(chain, "id long, vec array<double>"))
+    sizes = {r["cluster"]: r["count"] for r in eps_components(rows, "id", 0.5).groupBy("cluster").count().collect()}
+    assert sizes == {0: 1_000_005, -1: 1}
