@@ -11,8 +11,10 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from cellsmith.functions.scalars import name
+from cellsmith.operators import metric
 from cellsmith.operators.components import connected_components
 from cellsmith.operators.lookup import lookup_join
 from cellsmith.operators.metric import split_grid, squared, stack
@@ -20,6 +22,8 @@ from cellsmith.operators.similarity import cell_links, eps_links, micro_cells
 from cellsmith.session import checkpointed
 
 MAX_K = 10
+#: Members of a cluster that a round scores exactly, and the most rounds.
+SCORED, ROUNDS = 32, 12
 
 
 def knee(costs: Sequence[float], sensitivity: float = 1.0) -> int:
@@ -155,38 +159,81 @@ def nearest_to_mean(points: DataFrame, key: str, cluster: str = "cluster", vec:
     )
 
 
+def rule_out(base: DataFrame, dims: int) -> tuple[DataFrame, DataFrame]:
+    """(scored, left) of base (space, node, c, id, vec, w): members with their exact sum of distances, and the members whose
+    sum may still be the least.
+
+    Each round scores members of each cluster exactly, first those next to the mean, then some that are left, drawn by hash. For a
+    scored j the triangle inequality gives S(i) >= |S(j) - W d(i, j)|; the bounds only rise and the least known sum only
+    falls, so members fall away from round to round. Rounds end when one rules out less than a tenth.
+    """
+    keys = ["space", "node"]
+    sizes = checkpointed(base.groupBy(*keys).agg(F.sum("w").alias("whole"), F.count("*").alias("rows")))
+    means = cluster_means(base.withColumn("_k", F.struct(*keys)), "_k", "vec", "w").select("_k.*", "_mean", "_size")
+    gap = F.zip_with("vec", "_mean", lambda x, y: (x - y) * (x - y))
+    told = lookup_join(base, means, keys, "_size", "inner")
+    told = told.select(*base.columns, F.lit(0.0).alias("low"), F.aggregate(gap, F.lit(0.0), lambda t, v: t + v).alias("turn"))
+    left = checkpointed(told)
+    scored = base.select(*keys, "c", "id", F.lit(0.0).alias("total")).limit(0)
+    sums = T.StructType([T.StructField("space", T.LongType()), T.StructField("node", T.LongType()), T.StructField("child", base.schema["id"].dataType), T.StructField("part", T.DoubleType())])
+    kept = T.StructType([*left.schema.fields])
+
+    def distances(part: pd.DataFrame, own: pd.DataFrame) -> np.ndarray:
+        a, b = stack(part["vec"], dims), stack(own["vec"], dims)
+        d2 = squared(a, b)
+        row, col = np.nonzero(d2 <= 1e-6 * (1.0 + (a * a).sum(1)[:, None]))
+        d2[row, col] = ((a[row] - b[col]) ** 2).sum(1)
+        return np.sqrt(d2)
+
+    def add_up(space, part: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        total = part["w"].to_numpy() @ distances(part, own)
+        return pd.DataFrame({"space": space, "node": own["node"].to_numpy(), "child": own["child"].to_numpy(), "part": total})
+
+    def raise_bounds(space, part: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        reach = distances(part, own) * own["whole"].to_numpy()[None, :]
+        low = np.maximum(part["low"].to_numpy(), np.abs(reach - own["total"].to_numpy()[None, :]).max(1))
+        low = np.where(part["id"].isin(own["child"]), np.inf, low)
+        part = part.assign(low=low)
+        best = own["best"].to_numpy()[0]
+        return part[low <= best * (1 + 1e-9) + 1e-6][[f.name for f in kept]]
+
+    before = left.count()
+    for done in range(ROUNDS):
+        turn = F.xxhash64(F.lit(done), "id") if done else F.col("turn")
+        first = F.row_number().over(Window.partitionBy(*keys).orderBy(turn, "id"))
+        level = left.withColumn("_rn", first).filter(F.col("_rn") <= SCORED).select(*keys, "c", F.col("id").alias("child"), "vec")
+        level = checkpointed(level)
+        totals = metric._meet(base, level.drop("c"), "id", dims, add_up, sums).groupBy(*keys, "child").agg(F.sum("part").alias("total"))
+        exact = checkpointed(level.join(totals, [*keys, "child"]))
+        scored = checkpointed(scored.unionByName(exact.select(*keys, "c", F.col("child").alias("id"), "total")))
+        best = scored.groupBy(*keys).agg(F.min("total").alias("best"))
+        known = exact.drop("c").join(sizes.drop("rows"), keys).join(best, keys)
+        left = checkpointed(metric._meet(left, known, "id", dims, raise_bounds, kept))
+        now = left.count()
+        if now == 0 or (done and 10 * now > 9 * before):
+            break
+        before = now
+    return scored.drop(*keys), left
+
+
 def medoids(points: DataFrame, key: str, cluster: str = "cluster", vec: str = "vec", weight: str | None = None) -> DataFrame:
     """Member with the least total distance to its cluster, least id on a tie; exact.
 
-    A few members near each mean are scored exactly in one pass. The triangle
-    inequality |S(i) - S(p)| <= n*d(i, p) then rules out most others, and only the
-    survivors are scored, in bounded blocks that return partial sums.
+    ``rule_out`` scores a few members exactly and bounds the others by them; only members that remain are scored, in
+    bounded blocks that return partial sums.
     """
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
-    base = checkpointed(
-        points.select(F.col(cluster).alias("c"), name(key).alias("id"), F.col(vec).alias("vec"), w.alias("w"))
-    )
+    own = F.col(cluster)
+    codes = [F.xxhash64(F.lit(i), own).alias(n) for i, n in enumerate(("space", "node"))]
+    base = checkpointed(points.select(*codes, own.alias("c"), name(key).alias("id"), F.col(vec).alias("vec"), w.alias("w")))
     dims = _dims(base, "vec")
-    means = cluster_means(base, "c", "vec", "w").withColumn("size", F.col("_size"))
-    joined = lookup_join(base, means, ["c"], "_size", "inner")
-    squares = F.zip_with("vec", "_mean", lambda a, b: (a - b) * (a - b))
-    joined = joined.withColumn("_d", F.aggregate(squares, F.lit(0.0), lambda s, v: s + v))
-    near = joined.groupBy("c", "size").agg(F.min_by("id", F.struct("_d", "id")).alias("id"))
-    pivots = base.join(near, ["c", "id"]).select("c", "size", F.col("size").alias("rows"), F.col("vec").alias("pvec"))
-    gap = F.zip_with("vec", "pvec", lambda a, b: (a - b) * (a - b))
-    to_pivot = checkpointed(
-        lookup_join(base, pivots, ["c"], "rows", "inner").select(
-            "c", "id", "vec", "w", "size", F.sqrt(F.aggregate(gap, F.lit(0.0), lambda s, v: s + v)).alias("dp")
-        )
-    )
-    pivot_sum = to_pivot.groupBy("c").agg(F.sum(F.col("w") * F.col("dp")).alias("sp"), F.count("*").alias("rows"))
-    alive = lookup_join(to_pivot, pivot_sum, ["c"], "rows", "inner").filter(
-        F.col("size") * F.col("dp") - F.col("sp") <= F.col("sp") * (1 + 1e-9) + 1e-9
-    )
+    if not dims:
+        return base.select(F.col("c").alias(cluster), F.col("id").alias("representative"), F.col("w").alias("total_distance"))
+    scored, alive = rule_out(base, dims)
     left, right, grid = split_grid(
-        alive.select("c", F.col("id").alias("qid"), F.col("vec").alias("qvec")),
-        base.select("c", F.col("id").alias("iid"), F.col("vec").alias("ivec"), "w"),
-        ["c"],
+        alive.select("space", "node", F.col("id").alias("qid"), F.col("vec").alias("qvec"), "c"),
+        base.select("space", "node", F.col("id").alias("iid"), F.col("vec").alias("ivec"), "w"),
+        ["space", "node"],
         "qid",
         "iid",
     )
@@ -203,7 +250,7 @@ def medoids(points: DataFrame, key: str, cluster: str = "cluster", vec: str = "v
             row, col = np.nonzero(close)
             d2[row, col] = ((a[row] - b[col]) ** 2).sum(1)
             sums.append(np.sqrt(d2) @ wb)
-        return pd.DataFrame({"c": grid_key[0], "id": qpdf["qid"].to_numpy(), "total": np.concatenate(sums)})
+        return pd.DataFrame({"c": qpdf["c"].to_numpy(), "id": qpdf["qid"].to_numpy(), "total": np.concatenate(sums)})
 
     schema = T.StructType(
         [
@@ -213,7 +260,8 @@ def medoids(points: DataFrame, key: str, cluster: str = "cluster", vec: str = "v
         ]
     )
     sums = left.groupBy(*grid).cogroup(right.groupBy(*grid)).applyInPandas(partial, schema)
-    totals = sums.groupBy("c", "id").agg(F.round(F.sum("total"), 6).alias("total"))
+    totals = sums.groupBy("c", "id").agg(F.sum("total").alias("total")).unionByName(scored)
+    totals = totals.withColumn("total", F.round("total", 6))
     best = totals.groupBy("c").agg(F.min(F.struct("total", "id")).alias("b"))
     return best.select(
         F.col("c").alias(cluster), F.col("b.id").alias("representative"), F.col("b.total").alias("total_distance")

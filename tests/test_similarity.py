@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from cellsmith.operators.cluster import elbow_costs, eps_components, hierarchical_clusters, knee, medoids, nearest_to_mean, repair_candidates, clean_representatives
 from cellsmith.operators.components import connected_components
 from cellsmith.operators.detect import cut_by_share, isolation_scores, lof_scores
-from cellsmith.operators import bands
+from cellsmith.operators import bands, cluster
 from cellsmith.operators.fill import baseline_correct, column_modes, knn_fill
 from cellsmith.operators import metric
 from cellsmith.operators.similarity import knn_join
@@ -108,6 +108,26 @@ def test_medoid_matches_brute_force(spark):
         assert near[c] == min((round(float(np.sqrt(((x[i] - mean) ** 2).sum())), 9), i) for i in ids)[1]
 
 
+@pytest.mark.parametrize("n", [3000, 300])
+def test_medoid_rules_most_members_out(spark, monkeypatch, n):
+    """Rounds of exact sums leave few members of two large clusters for the blocks, and never the medoid; the small table
+    meets its rounds by shuffle."""
+    if n == 300:
+        monkeypatch.setattr(metric, "LEVEL_BYTES", 0)
+        monkeypatch.setattr(cluster, "ROUNDS", 2)
+    x = points(31, n, 2)
+    rows = frame(spark, x).withColumn("cluster", F.concat(F.lit("c"), F.col("id") % 2))
+    codes = [F.xxhash64(F.lit(i), "cluster").alias(c) for i, c in enumerate(("space", "node"))]
+    base = rows.select(*codes, F.col("cluster").alias("c"), "id", "vec", F.lit(1.0).alias("w"))
+    scored, left = cluster.rule_out(base, 2)
+    assert scored.count() <= 2 * cluster.SCORED * cluster.ROUNDS and left.count() < (0.1 if n == 3000 else 1) * n
+    got = {r["cluster"]: (r["representative"], r["total_distance"]) for r in medoids(rows, "id").collect()}
+    for c in range(2):
+        ids = np.arange(c, n, 2)
+        totals = np.sqrt(((x[ids][:, None] - x[ids][None]) ** 2).sum(2)).sum(1).round(6)
+        assert got[f"c{c}"][0] == ids[totals.argmin()] and got[f"c{c}"][1] == pytest.approx(totals.min())
+
+
 def test_knee():
     assert knee([100, 30, 10, 9, 8, 7, 6.5, 6, 5.8, 5.7]) == 3
     assert knee([5.0, 5.0, 5.0]) == 1 and knee([3.0]) == 1
