@@ -13,10 +13,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cellsmith.functions.scalars import name, number_or_null
-from cellsmith.session import checkpointed, spread
+from cellsmith.session import checkpointed
 from cellsmith.sources.tables import load_state, save_state
 
 LOCAL_CELLS = 4 << 20
+#: Rows of a partition that forests are fitted on.
+PART_ROWS = 1 << 16
 
 
 class NotFittedError(RuntimeError):
@@ -255,8 +257,25 @@ class ChainedRidge:
         return out
 
 
+def dealt_by_content(df: DataFrame, rows: int) -> DataFrame:
+    """The same rows in a layout that follows from the rows alone, whatever files, partitions or cores they come from.
+
+    Equal rows are counted first and then dealt by row and copy number, so that a hot row is spread; partitions are
+    as many as the row count asks for, and sorted.
+    """
+    columns = [name(c) for c in df.columns]
+    copies = df.groupBy(*columns).agg(F.count("*").alias("_copies"))
+    opened = copies.select(*columns, F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias("_copy"))
+    parts = max(8, -(-rows // PART_ROWS))
+    return opened.repartition(parts, F.xxhash64(*columns, "_copy")).sortWithinPartitions(*columns, "_copy").drop("_copy")
+
+
 class ChainedForest:
-    """Chained equations with random forests (10 trees, depth 10), mean start, fewest gaps first."""
+    """Chained equations with random forests (10 trees, depth 10), mean start, fewest gaps first.
+
+    Trees draw their rows by partition. The cells are therefore dealt anew by their content before the fit, so a
+    table gives the same forests wherever and in whatever order its rows lie; NaN is dealt as NULL.
+    """
 
     def __init__(self, columns: Sequence[str], max_iter: int = 5, trees: int = 10, depth: int = 10, tol: float = 1e-3, seed: int = 42):
         self.columns, self.max_iter, self.trees, self.depth, self.tol, self.seed = list(columns), max_iter, trees, depth, tol, seed
@@ -288,11 +307,15 @@ class ChainedForest:
             *[F.count(c).alias(f"k{i}") for i, c in enumerate(cells)],
             *[F.max(F.abs(c)).alias(f"a{i}") for i, c in enumerate(cells)],
         ).first()
-        self.means = [first[f"m{i}"] or 0.0 for i in range(d)]
+        # Twelve digits: the order of a sum over partitions must not show.
+        self.means = [float(f"{first[f'm{i}'] or 0.0:.12g}") for i in range(d)]
         self.steps = []
         targets = [i for g, i in sorted((first["n"] - first[f"k{i}"], i) for i in range(d)) if 0 < g < first["n"]]
         most = max((first[f"a{i}"] or 0.0) for i in range(d)) if d else 0.0
-        current = checkpointed(spread(self._start(df.select(*[name(c) for c in self.columns]))))
+        numbers = df.select(*[c.alias(f"_c{i}") for i, c in enumerate(cells)])
+        dealt = dealt_by_content(numbers, first["n"])
+        gaps = [F.col(f"_c{i}").isNull().alias(f"_m{i}") for i in range(d)]
+        current = checkpointed(dealt.select(*gaps, *[F.coalesce(f"_c{i}", F.lit(m)).alias(f"_x{i}") for i, m in enumerate(self.means)]))
         for _ in range(self.max_iter):
             moving = current.select("*", *[F.col(f"_x{i}").alias(f"_o{i}") for i in range(d)])
             for target in targets:

@@ -65,6 +65,19 @@ def test_nan_is_missing(spark):
         assert not np.isnan(got).any() and np.allclose(got, values(fill(nulls)), atol=0.5)
 
 
+def test_forest_ignores_the_layout(spark):
+    """One, four or eight partitions, another order, NaN or NULL, and a third of the rows equal: the same fills."""
+    _, gaps = matrix(240, 8)
+    gaps[160:] = gaps[1]
+    gaps[160:, 0] = np.nan
+    nulls = frame(spark, gaps)
+    nans = spark.createDataFrame([(i, *[float(v) for v in r]) for i, r in enumerate(gaps)], "id long, a double, b double, c double")
+    forest = lambda df: values(im.ChainedForest(COLUMNS, max_iter=2, trees=3, depth=5).fit_transform(df))
+    want = forest(nulls.coalesce(1))
+    for other in (nulls.repartition(4), nulls.repartition(8).orderBy(F.desc("id")), nans.repartition(8, "b"), nans.coalesce(1)):
+        assert np.allclose(forest(other), want, atol=1e-9)
+
+
 def test_ridge_equals_row_level_chain(spark):
     truth, gaps = matrix()
     rows = frame(spark, gaps)
