@@ -7,8 +7,8 @@ import random
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import lru_cache
-from itertools import groupby
 from zlib import crc32
 
 import numpy as np
@@ -155,14 +155,21 @@ class _Classes(dict):
 CLASSES = _Classes()
 
 
-@lru_cache(1 << 16)
+#: Longer class strings are worked out anew each time, so that a remembered one has a bounded size.
+REMEMBERED_CHARS = 64
+RUNS = re.compile(r"(.)\1+", re.DOTALL)
+
+
 def _collapsed(classes: str) -> str:
-    return "".join(c for c, _ in groupby(classes))
+    return RUNS.sub(r"\1", classes)
+
+
+_collapsed_short = lru_cache(1 << 16)(_collapsed)
 
 
 def _shape(word: str) -> str:
     """Classes of characters with runs shortened to one."""
-    return _collapsed(word[:64].translate(CLASSES))
+    return (_collapsed_short if len(word) <= REMEMBERED_CHARS else _collapsed)(word.translate(CLASSES))
 
 
 @lru_cache(1 << 16)
@@ -175,7 +182,7 @@ def _own(word: str) -> tuple[int, ...]:
     core = word.strip(EDGES)
     is_hex = bool(core) and not core.strip("0123456789abcdef")
     if not SPECIAL.search(word):
-        return _own_of_classes(core.translate(CLASSES), is_hex)
+        return (_own_short if len(core) <= REMEMBERED_CHARS else _own_of_classes)(core.translate(CLASSES), is_hex)
     digits = sum(map(core.count, "0123456789"))
     return _own_features(
         _shape(core),
@@ -191,10 +198,9 @@ def _own(word: str) -> tuple[int, ...]:
     )
 
 
-@lru_cache(1 << 16)
 def _own_of_classes(core: str, is_hex: bool) -> tuple[int, ...]:
     """Those of a word that holds none of SPECIAL: its character classes decide."""
-    return _own_features(_collapsed(core[:64]), len(core), 0, False, core.count("."), "", "", is_hex, False, False)
+    return _own_features(_collapsed(core), len(core), 0, False, core.count("."), "", "", is_hex, False, False)
 
 
 def _own_features(shape: str, size: int, digits: int, at: bool, dots: int, prefix: str, name: str, is_hex: bool, mixed: bool, plus: bool) -> tuple[int, ...]:
@@ -216,6 +222,9 @@ def _own_features(shape: str, size: int, digits: int, at: bool, dots: int, prefi
     return tuple(_feature(f) for f in named)
 
 
+_own_short = lru_cache(1 << 16)(_own_of_classes)
+
+
 def _name(before: str) -> int:
     return crc32(b"l:" + before.strip(EDGES).lower()[-8:].encode()) % FEATURES if len(before) < 12 else _feature("l")
 
@@ -516,6 +525,18 @@ def default_model() -> ChainModel:
     return _MODEL[0]
 
 
+@contextmanager
+def _vocabulary(model: ChainModel) -> Iterator[Vocabulary]:
+    """What a task remembers of words; forgotten at its end, as the worker goes on to other work."""
+    try:
+        yield Vocabulary(model)
+    finally:
+        for remembered in (_collapsed_short, _own_short, _feature):
+            remembered.cache_clear()
+        CLASSES.clear()
+        pa.default_memory_pool().release_unused()
+
+
 def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_secret) of every whole text.
 
@@ -527,16 +548,16 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     model = docs.sparkSession.sparkContext.broadcast(default_model())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = Vocabulary(model.value)
-        for batch in batches:
-            found = find_spans([t.as_py() or "" for t in batch.column("text")], model.value, vocabulary)
-            counts = [pa.array([sum(s[0] == kind for s in own) for own, _ in found], pa.int64()) for kind in BASE]
-            digest = [hashlib.sha256(written(own).encode()).hexdigest() for own, _ in found]
-            secret = pa.array([sum(s[0] == "secret" for s in every) for _, every in found], pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), *counts, pa.array(digest, pa.string()), pa.array([written(e) for _, e in found], pa.string()), secret],
-                names=["doc_id", *(f"n_{k}" for k in BASE), "base_sha256", "spans", "n_secret"],
-            )
+        with _vocabulary(model.value) as vocabulary:
+            for batch in batches:
+                found = find_spans([t.as_py() or "" for t in batch.column("text")], model.value, vocabulary)
+                counts = [pa.array([sum(s[0] == kind for s in own) for own, _ in found], pa.int64()) for kind in BASE]
+                digest = [hashlib.sha256(written(own).encode()).hexdigest() for own, _ in found]
+                secret = pa.array([sum(s[0] == "secret" for s in every) for _, every in found], pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id"), *counts, pa.array(digest, pa.string()), pa.array([written(e) for _, e in found], pa.string()), secret],
+                    names=["doc_id", *(f"n_{k}" for k in BASE), "base_sha256", "spans", "n_secret"],
+                )
 
     picked = docs.select(col(id_col).cast("bigint").alias("doc_id"), col(text_col).cast("string").alias("text"))
     counts = ", ".join(f"n_{k} bigint" for k in BASE)
@@ -552,22 +573,22 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     place = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = Vocabulary(model.value)
-        for batch in batches:
-            texts = [t.as_py() for t in batch.column(place)]
-            out: list[str | None] = []
-            for text, (_, spans) in zip(texts, find_spans([t or "" for t in texts], model.value, vocabulary)):
-                if text is None or not spans:
-                    out.append(text)
-                    continue
-                parts, done = [], 0
-                for kind, s, e in sorted(spans, key=lambda x: (x[1], -x[2])):
-                    if s >= done:
-                        parts += [text[done:s], f"<{kind}>"]
-                    done = max(done, e)
-                out.append("".join(parts) + text[done:])
-            columns = [*batch.columns]
-            columns[place] = pa.array(out, pa.string())
-            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+        with _vocabulary(model.value) as vocabulary:
+            for batch in batches:
+                texts = [t.as_py() for t in batch.column(place)]
+                out: list[str | None] = []
+                for text, (_, spans) in zip(texts, find_spans([t or "" for t in texts], model.value, vocabulary)):
+                    if text is None or not spans:
+                        out.append(text)
+                        continue
+                    parts, done = [], 0
+                    for kind, s, e in sorted(spans, key=lambda x: (x[1], -x[2])):
+                        if s >= done:
+                            parts += [text[done:s], f"<{kind}>"]
+                        done = max(done, e)
+                    out.append("".join(parts) + text[done:])
+                columns = [*batch.columns]
+                columns[place] = pa.array(out, pa.string())
+                yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
     return docs.mapInArrow(run, docs.schema)
