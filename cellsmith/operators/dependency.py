@@ -289,3 +289,51 @@ def type_check(
 ) -> DataFrame:
     """One boolean per ruled column: true where the cell obeys its rule."""
     return df.select(name(key), *[type_rule(name(c), r, (values or {}).get(c)).alias(c) for c, r in rules.items()])
+
+
+def fd_rank(df: DataFrame, flags: Mapping[str, Column], targets: Sequence[str], columns: Sequence[str], key_share: float = 0.9) -> DataFrame:
+    """(dependent, determinant, support, purity) of ``fd_propose`` for several dependents in one pass.
+
+    A row counts for a dependent unless that cell is flagged. Cells are text without NULL.
+    """
+    entries = [
+        F.when(~flags[b], F.struct(F.lit(b).alias("dependent"), F.lit(a).alias("determinant"), name(a).alias("a"), name(b).alias("b")))
+        for b in targets
+        for a in columns
+        if a != b
+    ]
+    opened = df.select(F.explode(F.array_compact(F.array(*entries))).alias("e")).select("e.*")
+    counts = opened.filter((F.col("a") != MISSING) & (F.col("b") != MISSING)).groupBy("dependent", "determinant", "a", "b").agg(F.count("*").alias("n"))
+    groups = counts.groupBy("dependent", "determinant", "a").agg(F.sum("n").alias("size"), F.max("n").alias("most"))
+    several = F.col("size") >= 2
+    scored = groups.groupBy("dependent", "determinant").agg(
+        (F.count("*") / F.sum("size")).alias("key_share"),
+        F.coalesce(F.sum(F.when(several, F.col("size"))), F.lit(0)).alias("support"),
+        F.sum(F.when(several, F.col("most"))).alias("kept"),
+    )
+    fit = scored.filter((F.col("key_share") <= key_share) & (F.col("support") > 0))
+    return fit.select("dependent", "determinant", "support", (F.col("kept") / F.col("support")).alias("purity"))
+
+
+def fd_verdicts(df: DataFrame, flags: Mapping[str, Column], examples: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(dependent, determinant, accepted) for every determinant of all examples in one grouped pass.
+
+    Examples: (dependent, determinant, key_value, dirty_value, truth), a bounded table. Only rows of ``df`` that hold a key of some
+    example are counted, without a cell flagged on either side; the mode of a key (least on a tie) is the looked-up value.
+    """
+    asked = examples.select("dependent", "determinant", F.col("key_value").alias("a")).distinct()
+    targets = [r["dependent"] for r in asked.select("dependent").distinct().collect()]
+    entries = [
+        F.when(~flags[a] & ~flags[b], F.struct(F.lit(b).alias("dependent"), F.lit(a).alias("determinant"), name(a).alias("a"), name(b).alias("b")))
+        for b in targets
+        for a in columns
+        if a != b
+    ]
+    if not entries:
+        return examples.select("dependent", "determinant", F.lit(True).alias("accepted")).limit(0)
+    opened = df.select(F.explode(F.array_compact(F.array(*entries))).alias("e")).select("e.*")
+    counts = opened.join(asked, ["dependent", "determinant", "a"], "left_semi").groupBy("dependent", "determinant", "a", "b").agg(F.count("*").alias("n"))
+    modes = counts.groupBy("dependent", "determinant", F.col("a").alias("key_value")).agg(F.min(F.struct((-F.col("n")).alias("n"), "b")).alias("m"))
+    joined = examples.join(modes, ["dependent", "determinant", "key_value"], "left")
+    right = F.coalesce("m.b", "dirty_value").eqNullSafe(F.col("truth"))
+    return joined.groupBy("dependent", "determinant").agg(F.bool_and(right).alias("accepted"))
