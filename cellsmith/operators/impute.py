@@ -16,7 +16,8 @@ from cellsmith.functions.scalars import name, number_or_null
 from cellsmith.session import checkpointed
 from cellsmith.sources.tables import load_state, save_state
 
-LOCAL_CELLS = 4 << 20
+#: Missing patterns that a task maps at a time.
+PATTERNS = 256
 #: Rows of a partition that forests are fitted on.
 PART_ROWS = 1 << 16
 
@@ -86,18 +87,17 @@ def bayesian_ridge(gram: np.ndarray, cross: np.ndarray, square: float, n: float,
     return coef
 
 
-def _replay(pattern: str, chain: list[tuple[int, float, list[float]]]) -> np.ndarray:
-    """Rows of the map (1, observed cells) -> imputed cells for one missing pattern, in centred units."""
-    d = len(pattern)
-    rows = np.zeros((d, d + 1))
-    for i, bit in enumerate(pattern):
-        if bit == "1":
-            rows[i, i + 1] = 1.0
+def _replay(seen: np.ndarray, chain: list[tuple[int, float, list[float]]]) -> np.ndarray:
+    """Maps (1, observed cells) -> imputed cells in centred units, one for each missing pattern (rows of ``seen``)."""
+    patterns, d = seen.shape
+    maps = np.zeros((patterns, d, d + 1))
+    maps[:, np.arange(d), np.arange(d) + 1] = seen
+    lacking = [np.flatnonzero(~seen[:, i]) for i in range(d)]
     for target, intercept, coef in chain:
-        if pattern[target] == "0":
-            rows[target] = np.asarray(coef) @ rows
-            rows[target, 0] += intercept
-    return rows
+        at = lacking[target]
+        maps[at, target] = np.einsum("i,pij->pj", np.asarray(coef), maps[at])
+        maps[at, target, 0] += intercept
+    return maps
 
 
 class ChainedRidge:
@@ -114,24 +114,46 @@ class ChainedRidge:
         self.state: dict | None = None
 
     def _patterns(self, df: DataFrame, means: list[float], scales: list[float]) -> DataFrame:
+        """(pattern, moment): per missing pattern the upper triangle of the sums of products of (1, observed cells)."""
         d = len(self.columns)
         cells = [number_or_null(name(c)) for c in self.columns]
         pattern = F.concat(*[c.isNotNull().cast("int").cast("string") for c in cells])
         z = [F.coalesce((c - F.lit(m)) / F.lit(s), F.lit(0.0)) for c, m, s in zip(cells, means, scales)]
         flat = df.select(pattern.alias("pattern"), *[v.alias(f"z{i}") for i, v in enumerate(z)])
-        sums = [F.sum(f"z{i}").alias(f"s{i}") for i in range(d)]
-        products = [F.sum(F.col(f"z{i}") * F.col(f"z{j}")).alias(f"p{i}_{j}") for i in range(d) for j in range(i, d)]
-        return flat.groupBy("pattern").agg(F.count("*").cast("double").alias("n"), *sums, *products)
+        ones = [F.count("*").cast("double"), *[F.sum(f"z{i}") for i in range(d)]]
+        products = [F.sum(F.col(f"z{i}") * F.col(f"z{j}")) for i in range(d) for j in range(i, d)]
+        return flat.groupBy("pattern").agg(F.array(*ones, *products).alias("moment"))
 
-    def _moment(self, row) -> np.ndarray:
+    def _gather(self, stats: DataFrame, chain: list, earlier: list, target: int) -> tuple[np.ndarray, np.ndarray]:
+        """Moments of imputed rows that observe the target, and the squared change of each column against an earlier chain.
+
+        Tasks map their patterns as one stack of matrices and hand on a single sum, which Spark adds up by position.
+        """
         d = len(self.columns)
-        g = np.zeros((d + 1, d + 1))
-        g[0, 0] = row["n"]
-        for i in range(d):
-            g[0, i + 1] = g[i + 1, 0] = row[f"s{i}"]
-            for j in range(i, d):
-                g[i + 1, j + 1] = g[j + 1, i + 1] = row[f"p{i}_{j}"]
-        return g
+        upper = np.triu_indices(d + 1)
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            total = np.zeros((d + 1) ** 2 + d)
+            for pdf in batches:
+                for start in range(0, len(pdf), PATTERNS):
+                    part = pdf.iloc[start : start + PATTERNS]
+                    seen = np.array([[bit == "1" for bit in p] for p in part["pattern"]])
+                    moments = np.zeros((len(part), d + 1, d + 1))
+                    moments[:, upper[0], upper[1]] = np.stack(part["moment"].to_numpy())
+                    moments[:, upper[1], upper[0]] = moments[:, upper[0], upper[1]]
+                    maps = _replay(seen, chain)
+                    first = np.broadcast_to(np.eye(1, d + 1), (len(part), 1, d + 1))
+                    full = np.concatenate([first, maps], axis=1)[seen[:, target]]
+                    total[: (d + 1) ** 2] += (full @ moments[seen[:, target]] @ full.transpose(0, 2, 1)).sum(0).ravel()
+                    move = maps - _replay(seen, earlier)
+                    total[(d + 1) ** 2 :] += np.einsum("pij,pjk,pik->i", move, moments, move)
+            yield pd.DataFrame({"v": [total]})
+
+        parts = stats.mapInPandas(run, "v array<double>").select(F.posexplode("v").alias("at", "v"))
+        flat = np.zeros((d + 1) ** 2 + d)
+        for r in parts.groupBy("at").agg(F.sum("v").alias("v")).collect():
+            flat[r["at"]] = r["v"]
+        return flat[: (d + 1) ** 2].reshape(d + 1, d + 1), flat[(d + 1) ** 2 :]
 
     def fit(self, df: DataFrame) -> ChainedRidge:
         d = len(self.columns)
@@ -148,45 +170,20 @@ class ChainedRidge:
         gaps = sorted((first["n"] - first[f"k{i}"], i) for i in range(d))
         targets = [i for g, i in gaps if 0 < g < first["n"]]
         stats = checkpointed(self._patterns(df, means, scales))
-        local = None
-        if stats.count() * (d + 1) ** 2 <= LOCAL_CELLS:
-            local = [(r["pattern"], self._moment(r)) for r in stats.collect()]
-
-        def gather(chain: list, earlier: list, target: int) -> tuple[np.ndarray, np.ndarray]:
-            """Moments of imputed rows that observe the target, and squared change against an earlier chain."""
-
-            def one(pattern: str, moment: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-                now = np.vstack([np.eye(1, d + 1), _replay(pattern, chain)])
-                seen = now @ moment @ now.T if pattern[target] == "1" else np.zeros((d + 1, d + 1))
-                move = _replay(pattern, chain) - _replay(pattern, earlier)
-                return seen, np.einsum("ij,jk,ik->i", move, moment, move)
-
-            if local is not None:
-                parts = [one(p, m) for p, m in local]
-                return sum(p[0] for p in parts), sum(p[1] for p in parts)
-            moment_of = self._moment
-
-            def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-                seen, move = np.zeros((d + 1, d + 1)), np.zeros(d)
-                for pdf in batches:
-                    for _, r in pdf.iterrows():
-                        a, b = one(r["pattern"], moment_of(r))
-                        seen, move = seen + a, move + b
-                yield pd.DataFrame({"v": [np.concatenate([seen.ravel(), move])]})
-
-            size = (d + 1) ** 2 + d
-            summed = stats.mapInPandas(run, "v array<double>").agg(*[F.sum(F.col("v")[i]).alias(f"v{i}") for i in range(size)]).first()
-            flat = np.array([summed[i] or 0.0 for i in range(size)])
-            return flat[: (d + 1) ** 2].reshape(d + 1, d + 1), flat[(d + 1) ** 2 :]
-
         chain: list[tuple[int, float, list[float]]] = []
         most = max((first[f"a{i}"] or 0.0) for i in range(d)) if d else 0.0
         done = 0
-        before: list = []
-        for done in range(1, self.max_iter + 1):
-            start = list(chain)
+        start: list = []
+        for done in range(1, self.max_iter + 1 if targets else 1):
+            begun = list(chain)
+            stop = False
             for target in targets:
-                moments, _ = gather(chain, before, target)
+                moments, moved = self._gather(stats, chain, start, target)
+                if target == targets[0] and done > 1:
+                    # The first sums of a round also tell how far the round before it has moved each column.
+                    stop = (np.sqrt(moved / first["n"]) * np.asarray(scales)).max() < self.tol * most
+                    if stop:
+                        break
                 n = moments[0, 0]
                 others = [i for i in range(d) if i != target]
                 centre = moments[0, 1:] / n
@@ -194,13 +191,10 @@ class ChainedRidge:
                 coef = np.zeros(d)
                 coef[others] = bayesian_ridge(cov[np.ix_(others, others)], cov[others, target], cov[target, target], n)
                 chain.append((target, float(centre[target] - coef @ centre), coef.tolist()))
-            if not targets:
-                break
-            _, moved = gather(chain, start, targets[0])
-            change = np.sqrt(moved / first["n"]) * np.asarray(scales)
-            before = start
-            if change.max() < self.tol * most:
+            if stop:
+                done -= 1
                 break
+            start = begun
         self.state = {
             "kind": "chained_ridge",
             "columns": self.columns,
@@ -232,7 +226,7 @@ class ChainedRidge:
                 bits = seen[rows[0]]
                 if bits.all():
                     continue
-                a = _replay("".join("1" if b else "0" for b in bits), chain)
+                a = _replay(bits[None], chain)[0]
                 full = (a[:, 0] + z[rows] @ a[:, 1:].T) * scales + means
                 out[rows] = np.where(seen[rows], x[rows], full)
             return pd.DataFrame(out, columns=columns)

@@ -90,12 +90,12 @@ def test_ridge_equals_row_level_chain(spark):
     assert np.sqrt(((got - truth)[~seen] ** 2).mean()) < 0.3 * np.sqrt(((mean - truth)[~seen] ** 2).mean())
 
 
-def test_ridge_many_patterns_path_and_partitions(spark, monkeypatch):
+def test_ridge_slices_and_partitions(spark, monkeypatch):
     _, gaps = matrix(200, 3)
     rows = frame(spark, gaps)
     want = values(im.ChainedRidge(COLUMNS).fit_transform(rows))
     assert np.allclose(values(im.ChainedRidge(COLUMNS).fit_transform(rows.repartition(7))), want, atol=1e-8)
-    monkeypatch.setattr(im, "LOCAL_CELLS", 0)
+    monkeypatch.setattr(im, "PATTERNS", 1)
     assert np.allclose(values(im.ChainedRidge(COLUMNS).fit_transform(rows)), want, atol=1e-8)
 
 
