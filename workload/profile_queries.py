@@ -189,11 +189,11 @@ def cell_features_query(spark, sf):
     "batch_features",
     f"""WITH x AS (SELECT doc_id, CASE WHEN text IS NULL OR text = '' THEN 'nan' ELSE text END AS v FROM documents),
     y AS (SELECT doc_id, {_features_sql('v')} FROM x)
-    SELECT doc_id, f1, f2, f3, f4, f5, f6, f7, f8 FROM y""",
+    SELECT doc_id, f0, f1, f2, f3, f4, f5, f6, f7, f8 FROM y""",
 )
 def batch_features_query(spark, sf):
     out = batch_features(table(spark, sf, "documents"), "doc_id", "text")
-    return out.select("doc_id", *[r6(F.col(f), f) if f == "f7" else F.col(f) for f in FEATURES if f != "f0"])
+    return out.select("doc_id", *[r6(F.col(f), f) if f == "f7" else F.col(f) for f in FEATURES])
 
 
 @query(
