@@ -271,12 +271,13 @@ def medoids(points: DataFrame, key: str, cluster: str = "cluster", vec: str = "v
 def propagate_labels(members: DataFrame, representatives: DataFrame, labels: DataFrame, key: str, cluster: str = "cluster") -> DataFrame:
     """Spread each representative's label over its cluster; rows of unlabelled clusters drop out.
 
-    members (key, cluster), representatives (cluster, representative), labels (key, label).
+    members (key, cluster), representatives (cluster, representative), labels (key, label). A cluster may hold most rows.
     """
     marked = representatives.join(
         labels.select(name(key).alias("representative"), "label"), "representative"
     ).select(cluster, "label")
-    return members.join(marked, cluster).select(name(key), cluster, "label")
+    sizes = members.groupBy(name(cluster).alias(cluster)).agg(F.count("*").alias("_members"))
+    return lookup_join(members, marked.join(sizes, cluster), [cluster], "_members", "inner").select(name(key), name(cluster), "label")
 
 
 def repair_candidates(rows: DataFrame, mask: DataFrame, key: str, n: int, vec: str = "vec", seed: int = 42) -> DataFrame:

@@ -2,10 +2,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cellsmith.operators.cluster import elbow_costs, eps_components, hierarchical_clusters, knee, medoids, nearest_to_mean, repair_candidates, clean_representatives
+from cellsmith.operators.cluster import elbow_costs, eps_components, hierarchical_clusters, knee, medoids, nearest_to_mean, propagate_labels, repair_candidates, clean_representatives
 from cellsmith.operators.components import connected_components
 from cellsmith.operators.detect import cut_by_share, isolation_scores, lof_scores
-from cellsmith.operators import bands, cluster
+from cellsmith.operators import bands, cluster, lookup
 from cellsmith.operators.fill import baseline_correct, column_modes, knn_fill
 from cellsmith.operators import metric
 from cellsmith.operators.similarity import knn_join
@@ -90,6 +90,21 @@ def test_connected_components_chain_and_hub(spark):
     assert all(got[i] == 0 for i in range(41)) and all(got[i] == 100 for i in range(100, 160))
 
 
+def test_components_and_labels_of_a_hub(spark, monkeypatch):
+    """A third of all nodes hangs on one hub and most rows are in one cluster, with lookups too large to broadcast."""
+    monkeypatch.setattr(lookup, "BROADCAST_ROWS", 1)
+    monkeypatch.setattr(lookup, "HOT_KEYS", 2)
+    hub = [(0, i) for i in range(1, 300)]
+    pairs = [(1000 + 2 * i, 1001 + 2 * i) for i in range(300)]
+    got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(hub + pairs, "a long, b long")).collect()}
+    assert got == {i: 0 for i in range(300)} | {n: a for a, b in pairs for n in (a, b)}
+    members = spark.range(600).select("id", F.when(F.col("id") % 3 < 2, 0).otherwise(F.col("id")).alias("cluster"))
+    chosen = members.groupBy("cluster").agg(F.min("id").alias("representative"))
+    labels = spark.createDataFrame([(0, "hot"), (5, "five"), (8, None)], "id long, label string")
+    out = propagate_labels(members, chosen, labels, "id").collect()
+    assert {r["id"]: r["label"] for r in out} == {i: "hot" for i in range(600) if i % 3 < 2} | {5: "five", 8: None}
+
+
 def test_medoid_matches_brute_force(spark):
     x = points(9, 130, 3, 0.3)
     weights = np.random.default_rng(1).integers(1, 5, len(x))
