@@ -164,6 +164,26 @@ def check_shards(docs):
     assert {r["shard"] for r in got} <= set(range(24))
 
 
+@pytest.mark.parametrize("hot", [1, 60, 2500])
+def test_shards_are_minimal_over_groups(spark, hot):
+    """With four first ranges, the largest shard is what dynamic programming over all groups finds."""
+    docs = spark.range(400).select(
+        F.col("id").alias("doc_id"),
+        F.when(F.col("id") % 3 == 0, F.repeat(F.lit("h"), hot)).otherwise(F.repeat(F.lit("ab"), (F.col("id") % 97).cast("int"))).alias("text"),
+    )
+    sized = docs.groupBy(F.xxhash64("text").alias("h")).agg(F.sum(F.octet_length("text") + 8).alias("size")).orderBy("h").collect()
+    got = sharding.shard_documents(docs, 7, atoms=4).groupBy("shard").agg(F.sum("size").alias("size")).collect()
+    assert max(r["size"] for r in got) == least_capacity([r["size"] for r in sized], 7)
+    assert {(r["shard"], r["size"]) for r in got} == {(r["shard"], r["size"]) for r in sharding.shard_documents(docs, 7).groupBy("shard").agg(F.sum("size").alias("size")).collect()}
+
+
+def test_word_shapes_are_whole():
+    from cellsmith.llm.ranking import Featurizer
+
+    words = [b"a" * 300 + end for end in (b"99", b"zz", b"Z.")]
+    assert len({Featurizer()._bucket(w) for w in words}) == 3
+
+
 def test_shards(spark, edge_docs, monkeypatch):
     check_shards(edge_docs)
     monkeypatch.setattr(sharding, "PART_ROWS", 7)
