@@ -6,3 +6,4 @@ import workload.score_queries  # noqa: F401
 import workload.similarity_queries  # noqa: F401
 import workload.repair_queries  # noqa: F401
 import workload.impute_queries  # noqa: F401
+import workload.fact_queries  # noqa: F401
