@@ -18,6 +18,7 @@ from cellsmith.operators.evaluate import (
 )
 from cellsmith.operators.fill import baseline_correct, column_modes
 from cellsmith.operators.impute import blend
+from cellsmith.session import checkpointed
 from cellsmith.sources.tables import missing_mask
 from workload import fixtures as fx
 from workload.registry import query, r6
@@ -30,8 +31,9 @@ cells AS ({' UNION ALL '.join(f"SELECT t.{c} AS t, f.{c} AS p, g.{c} IS NULL AS
 
 
 def _mean_filled(spark, sf):
-    truth = fx.price_truth(spark, sf)
-    gaps = fx.price_gaps(truth)
+    # Row ids and gaps are hashed once, not again for every table and filter that reads them.
+    truth = checkpointed(fx.price_truth(spark, sf))
+    gaps = checkpointed(fx.price_gaps(truth))
     means = gaps.agg(*[F.avg(c).alias(c) for c in fx.PRICE_COLUMNS]).first()
     filled = gaps.select("row_id", *[F.coalesce(c, F.lit(means[c])).alias(c) for c in fx.PRICE_COLUMNS])
     return truth, gaps, filled, missing_mask(gaps, "row_id", fx.PRICE_COLUMNS)
