@@ -18,11 +18,12 @@ MOST_REPEAT_PCT = 30
 
 @dataclass(frozen=True)
 class Ratio:
-    """``order``: words in an n-gram; ``buckets`` (a power of two) that n-grams are hashed to; ``prior``: raw-corpus counts mixed into the trusted counts of a
-    bucket, so that unseen n-grams weigh little; ``least``: mean log ratio below which a document is rejected."""
+    """``order``: the most words in an n-gram, all shorter ones count as well; ``buckets`` (a power of two) that n-grams are hashed to;
+    ``prior``: raw-corpus counts mixed into the trusted counts of a bucket, so that unseen n-grams weigh little; ``least``: mean
+    log ratio of a word's n-grams below which a document is rejected."""
 
-    order: int = 1
-    buckets: int = 1 << 16
+    order: int = 2
+    buckets: int = 1 << 18
     prior: float = 1.0
     least: float = -0.15
 
@@ -49,6 +50,11 @@ def runs(hashes: Column, width: int) -> Column:
     return F.transform(hashes, lambda h, i: F.xxhash64(h, *[F.get(hashes, i + k) for k in range(1, width)]))
 
 
+def ngrams(hashes: Column, order: int) -> Column:
+    """Hashes of all n-grams of 1 to ``order`` words."""
+    return F.concat(*[runs(hashes, k) for k in range(1, order + 1)])
+
+
 def window_hashes(hashes: Column, width: int = WINDOW) -> Column:
     """Hashes of all whole windows of ``width`` words; equal windows are found by them."""
     return F.slice(runs(hashes, width), F.lit(1), F.greatest(F.size(hashes) - (width - 1), F.lit(0)))
@@ -98,10 +104,7 @@ def fit_ratio(docs: DataFrame, trusted_ids: DataFrame, ratio: Ratio, id_col: str
     texts = docs.select(col(id_col).alias("id"), text_of(text_col).alias("text"))
     texts = texts.withColumn("spread", F.when(F.col("id").isNull(), F.xxhash64("text")).otherwise(F.lit(0).cast("bigint")))
     marked = texts.join(ids.hint("shuffle_hash"), ["id", "spread"], "left")
-    if ratio.order == 1:
-        grams = marked.select("trusted", F.explode(words_of(F.col("text"))).alias("w")).withColumn("h", F.xxhash64("w"))
-    else:
-        grams = marked.select("trusted", F.explode(bind(word_hashes(F.col("text")), lambda h: runs(h, ratio.order))).alias("h"))
+    grams = marked.select("trusted", F.explode(bind(word_hashes(F.col("text")), lambda h: ngrams(h, ratio.order))).alias("h"))
     grams = grams.select("trusted", bucket(F.col("h"), ratio).alias("b"))
     counts = grams.groupBy("b").agg(F.count("*").alias("raw"), F.count("trusted").alias("good"))
     every = docs.sparkSession.range(ratio.buckets).join(counts, F.col("id") == F.col("b"), "left").fillna(0)
@@ -120,14 +123,14 @@ def findings(text: Column, weights: Column, ratio: Ratio) -> Column:
     """Counts, mean log ratio and verdict of a text as one struct; every part is computed once."""
 
     def measure(words: Column, hashes: Column, weights: Column) -> Column:
-        total = F.aggregate(runs(hashes, ratio.order), F.lit(0.0), lambda a, g: a + F.get(weights, bucket(g, ratio)))
+        total = F.aggregate(ngrams(hashes, ratio.order), F.lit(0.0), lambda a, g: a + F.get(weights, bucket(g, ratio)))
         return F.struct(
             F.size(words).cast("bigint").alias("n_words"),
             letters(words).cast("bigint").alias("word_chars"),
             symbols(text).cast("bigint").alias("n_symbols"),
             repeated_lines(text).cast("bigint").alias("n_dup_lines"),
             repeated_words(window_hashes(hashes)).cast("bigint").alias("n_repeat_words"),
-            F.when(F.size(words) > 0, total / F.size(words)).otherwise(0.0).alias("mean_ratio"),
+            F.when(F.size(words) > 0, total / (F.size(words) * ratio.order)).otherwise(0.0).alias("mean_ratio"),
         )
 
     def verdict(m: Column) -> Column:
