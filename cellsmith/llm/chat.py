@@ -34,6 +34,38 @@ def events_from_turns(turns: DataFrame) -> DataFrame:
     )
 
 
+def drafted_log(turns: DataFrame, learn: tuple[str, ...] = ("assistant",)) -> DataFrame:
+    """A table of whole turns as the log of how they may have come about; folded, it gives the table's turns back.
+
+    Every row is written twice. A row of the roles in ``learn`` streams a draft, is regenerated, and streams its text in two
+    deltas; another row is sent as a draft and edited. Before that, each draft has been answered by a turn that the reset has to
+    drop. Rows keep the order of turn, role and text inside their conversation, which is their turn in the log.
+
+    NULL text and role are empty, repeated rows are turns of their own, NULL conversations are one conversation, an
+    empty table gives an empty log.
+    """
+    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    rows = turns.select(
+        "conv_id",
+        F.coalesce("role", F.lit("")).alias("role"),
+        F.coalesce("text", F.lit("")).alias("text"),
+        (F.row_number().over(order) - 1).cast("bigint").alias("turn"),
+    )
+    text, half = F.col("text"), F.floor(F.length("text") / 2).cast("int")
+    head, tail = F.substr(text, F.lit(1), half), F.substr(text, half + 1)
+
+    def event(step: int, kind: str, said: Column, later: int = 0) -> Column:
+        return F.struct(
+            (F.col("turn") * 8 + step).alias("seq"), F.lit(kind).alias("kind"), (F.col("turn") + later).alias("turn"), F.col("role").alias("role"), said.alias("text")
+        )
+
+    answer = event(1, "message", F.concat(F.lit("re: "), tail), 1)
+    streamed = F.array(event(0, "delta", F.concat(tail, head)), answer, event(2, "regenerate", F.lit("")), event(3, "delta", head), event(4, "delta", tail))
+    edited = F.array(event(0, "message", F.concat(tail, head)), answer, event(2, "edit", text))
+    events = F.when(F.col("role").isin(*learn), streamed).otherwise(edited)
+    return rows.select("conv_id", F.explode(events).alias("e")).select("conv_id", "e.*")
+
+
 def fold_events(events: DataFrame) -> DataFrame:
     """(conv_id, turn, place, role, text): the messages that stand at the end of each conversation's log.
 

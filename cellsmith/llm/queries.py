@@ -117,6 +117,7 @@ SELECT conv_id, count(*) AS n_turns,
 FROM c GROUP BY conv_id""",
 )
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation is rebuilt from a log in which each of its turns was drafted, answered, and written anew."""
     turns = read(spark, sf_dir, "conversations").select(
         F.col("conv_id").cast("bigint"), F.col("turn").cast("bigint"), F.col("role").cast("string"), F.col("text").cast("string")
     )
@@ -126,7 +127,7 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
         F.lit(TRAP).alias("text"),
     )
-    events = chat.events_from_turns(turns.unionByName(trap))
+    events = chat.drafted_log(turns.unionByName(trap))
     return chat.digest_chats(chat.render(chat.fold_events(events)))
 
 
