@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cellsmith.llm.common import col
+
 #: Lines that a window covers, and the least text of a window at which main text may begin.
 WINDOW_LINES = 3
 SURGE_CHARS = 40
@@ -25,6 +27,18 @@ BREAKS = frozenset(
 RAW = frozenset("script style textarea title noscript iframe template svg math object canvas audio video noembed xmp".split())
 ASIDE = frozenset("nav footer aside form menu dialog button select head".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+#: Elements whose end tag may be left out, and the start tags that end them; the end of an element around them does, too.
+IMPLIED = {
+    "p": BREAKS - {"br"},
+    "li": frozenset(["li"]),
+    "dt": frozenset(["dt", "dd"]),
+    "dd": frozenset(["dt", "dd"]),
+    "td": frozenset(["td", "th", "tr", "tbody", "tfoot"]),
+    "th": frozenset(["td", "th", "tr", "tbody", "tfoot"]),
+    "tr": frozenset(["tr", "tbody", "tfoot"]),
+    "option": frozenset(["option", "optgroup"]),
+}
+HOLDERS = BREAKS - VOID - frozenset(IMPLIED)
 #: Words in class, id or role that name what is not the article.
 MARKS = frozenset(
     "ad ads advert advertisement adverts banner breadcrumb breadcrumbs comment comments consent cookie cookies disclaimer footer "
@@ -55,7 +69,7 @@ def page_lines(page: str) -> list[tuple[str, int, bool]]:
     """
     lines: list[tuple[str, int, bool]] = []
     texts: list[str] = []
-    free = link = article = deep = at = 0
+    free = link = article = deep = held = at = 0
     skipping = raw = ""
     raw_end: dict[str, re.Pattern[str]] = {}
 
@@ -93,8 +107,17 @@ def page_lines(page: str) -> list[tuple[str, int, bool]]:
             continue
         name, ends, rest = tag["name"].lower(), tag["end"] == "/", tag["rest"]
         empty = name in VOID or rest.endswith("/") and name in ("svg", "math")
+        if skipping in IMPLIED and not empty:
+            # Holders opened and closed since then tell whether a tag belongs to the skipped element.
+            if held == 0 and (name in HOLDERS if ends else name in IMPLIED[skipping]):
+                skipping, deep = "", 0
+                lines.append(("", 0, article > 0))
+            elif held == 0 and ends and name == skipping:
+                deep = 1
+            elif name in HOLDERS:
+                held += -1 if ends else 1
         if skipping:
-            if name == skipping and not empty:
+            if name == skipping and not empty and (skipping not in IMPLIED or held == 0):
                 deep += -1 if ends else 1
             if deep <= 0 or (name in ("article", "main") and not ends):
                 skipping, deep = "", 0
@@ -111,7 +134,7 @@ def page_lines(page: str) -> list[tuple[str, int, bool]]:
         if not ends and not empty and _off_topic(name, rest, article > 0):
             flush()
             lines.append(("", 0, article > 0))
-            skipping, deep = name, 1
+            skipping, deep, held = name, 1, 0
             continue
         if name in BREAKS:
             flush()
@@ -132,7 +155,7 @@ def main_text(page: str | None, window: int = WINDOW_LINES, surge: int = SURGE_C
     where a sum reaches ``surge`` and ends where the sum falls to zero. What began inside an
     article ends with it at the latest, and no window reaches over its edge before main text
     begins; text outside is main text if its own sum surges. Lines of links alone are kept
-    inside an article only.
+    inside an article only. If no sum reaches ``surge``, the run of the greatest weight is main text.
     """
     lines = page_lines(page or "")
     size = [(ARTICLE_WEIGHT - 1) * free + len(text) if inside else free for text, free, inside in lines]
@@ -160,9 +183,25 @@ def main_text(page: str | None, window: int = WINDOW_LINES, surge: int = SURGE_C
         if begun and (total == 0 or i == len(lines)):
             take(i + 1)
             begun = False
+    if not out and any(size):
+        start, stop = _heaviest(size, window)
+        take(stop)
     return "\n".join(out)
 
 
+def _heaviest(size: list[int], window: int) -> tuple[int, int]:
+    """The run of the greatest weight, the first of equals; ``window`` lines without weight end a run."""
+    best, run, begin, idle = (0, 0, 0), 0, 0, 0
+    for i, n in enumerate([*size, *[0] * window]):
+        if n and not run:
+            begin = i
+        run, idle = run + n, 0 if n else idle + 1
+        if idle >= window:
+            best = max(best, (run, -begin, -i))
+            run = 0
+    return -best[1], min(len(size), -best[2])
+
+
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(page_id, url, text, n_chars) of every page, from its whole HTML.
 
@@ -178,6 +217,6 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
                 [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], names=["page_id", "url", "text"]
             )
 
-    picked = pages.select(F.col(id_col).cast("bigint").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
+    picked = pages.select(col(id_col).cast("bigint").alias("page_id"), col(url_col).alias("url"), col(html_col).alias("html"))
     out = picked.mapInArrow(run, "page_id bigint, url string, text string")
     return out.withColumn("n_chars", F.length("text").cast("bigint"))
