@@ -70,6 +70,26 @@ def test_fold(spark):
         assert (texts[conv]["n_turns"], texts[conv]["loss_chars"]) == (len(turns), len(learned))
 
 
+def test_drafted_log(spark):
+    """The log holds every kind of event, and folding it gives the rows back, as the plain fold does."""
+    rnd = random.Random(9)
+    rows = [(c % 30, rnd.randint(0, 5), rnd.choice(["user", "assistant", None, "tool"]), rnd.choice(["", None, "a", "a<b>🙂", "one two three"])) for c in range(300)]
+    turns = spark.createDataFrame([*rows, rows[0], (None, 1, "user", "x")], "conv_id bigint, turn bigint, role string, text string")
+    events = chat.drafted_log(turns)
+    log = events.collect()
+    assert {r["kind"] for r in log} == {"message", "delta", "edit", "regenerate"}
+    got, want, plain = {}, {}, {}
+    for r in chat.fold_events(events).orderBy("conv_id", "turn", "place").collect():
+        got.setdefault(r["conv_id"], []).append((r["role"], r["text"]))
+    for c, t, role, text in [*rows, rows[0], (None, 1, "user", "x")]:
+        want.setdefault(c, []).append((t, role is not None, role or "", text is not None, text or ""))
+    for r in log:
+        plain.setdefault(r["conv_id"], []).append((r["seq"], r["kind"], r["turn"], r["role"], r["text"]))
+    assert got == {c: [(role, text) for _, _, role, _, text in sorted(turns)] for c, turns in want.items()}
+    assert got == {c: [(role, text) for _, role, text in folded(mine)] for c, mine in plain.items()}
+    assert chat.drafted_log(turns.limit(0)).collect() == []
+
+
 def test_chat_bounds(spark):
     rows = [(None, None, None, None), (1, 0, "user", None), (1, 0, "user", None), (1, 1, "assistant", "x" * 200_000), (2, None, 'odd"><role', "")]
     turns = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
@@ -90,35 +110,46 @@ def plain_rules(text):
     return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text or ""), len(lines) - len(set(lines)), len(hit), failed
 
 
-def check_rules(spark, docs, ids):
-    ratio = quality_rules.Ratio()
+def grams_of(words, order):
+    """All runs of up to ``order`` words; past the end there is nothing to add."""
+    return [tuple(words[i : i + k]) + (None,) * (i + k - len(words)) for k in range(1, order + 1) for i in range(len(words))]
+
+
+def check_rules(spark, docs, ids, ratio=quality_rules.Ratio()):
     rows = docs.select("doc_id", "text").collect()
     got = quality_rules.judge(docs, quality_rules.fit_ratio(docs, ids, ratio), ratio).collect()
     words = lambda t: [w for w in (t or "").translate(dict.fromkeys(map(ord, "\t\n\x0b\x0c\r"), " ")).split(" ") if w]
     vocabulary = sorted({w for r in rows for w in words(r["text"])})
-    hashed = spark.createDataFrame([(w,) for w in vocabulary], "w string").select("w", F.xxhash64("w").alias("h")).collect()
-    place = {r["w"]: r["h"] % ratio.buckets for r in hashed}
+    hashed = {r["w"]: r["h"] for r in spark.createDataFrame([(w,) for w in vocabulary], "w string").select("w", F.xxhash64("w").alias("h")).collect()}
+    place = {(w,): h % ratio.buckets for w, h in hashed.items()}
+    for k in range(2, ratio.order + 1):
+        seen = sorted({g for r in rows for g in grams_of(words(r["text"]), k) if len(g) == k}, key=repr)
+        columns = [f"h{i}" for i in range(k)]
+        numbers = spark.createDataFrame([(i, *[hashed.get(w) for w in g]) for i, g in enumerate(seen)], "i int, " + ", ".join(f"{c} bigint" for c in columns))
+        for r in numbers.select("i", F.xxhash64(*columns).alias("h")).collect():
+            place[seen[r["i"]]] = r["h"] % ratio.buckets
     good_ids = {r[0] for r in ids.collect() if r[0] is not None}
     raw, good = np.zeros(ratio.buckets), np.zeros(ratio.buckets)
     for r in rows:
-        for w in words(r["text"]):
-            raw[place[w]] += 1
-            good[place[w]] += r["doc_id"] in good_ids
+        for g in grams_of(words(r["text"]), ratio.order):
+            raw[place[g]] += 1
+            good[place[g]] += r["doc_id"] in good_ids
     p = (raw + 1) / (raw.sum() + ratio.buckets)
     mass = ratio.prior * ratio.buckets
     log = np.log((good + mass * p) / (good.sum() + mass)) - np.log(p)
     want = []
     for r in rows:
         base = plain_rules(r["text"])
-        mean = sum(log[place[w]] for w in words(r["text"])) / base[0] if base[0] else 0.0
+        mean = sum(log[place[g]] for g in grams_of(words(r["text"]), ratio.order)) / (base[0] * ratio.order) if base[0] else 0.0
         want.append((r["doc_id"], *base, not base[-1] and mean >= ratio.least, mean))
     key = lambda r: (r[0] is None, r[0] or 0, r[1:6])
     for a, b in zip(sorted((tuple(r) for r in got), key=key), sorted(want, key=key), strict=True):
         assert a[:-1] == b[:-1] and math.isclose(a[-1], b[-1], abs_tol=1e-8)
 
 
-def test_rules_on_edges(spark, edge_docs, few_labels):
-    check_rules(spark, edge_docs, few_labels.filter("quality = 1").select("doc_id"))
+@pytest.mark.parametrize("order", [1, 2, 3])
+def test_rules_on_edges(spark, edge_docs, few_labels, order):
+    check_rules(spark, edge_docs, few_labels.filter("quality = 1").select("doc_id"), quality_rules.Ratio(order=order, buckets=1 << 12))
 
 
 @needs_tables

@@ -209,6 +209,95 @@ def test_bpe_on_odd_texts():
         assert bpe.decode(ids, table) == library.decode(ids, skip_special_tokens=False)
 
 
+@pytest.mark.parametrize(
+    "page,text",
+    [
+        ("<div><p class='promo'>Ad<p>A</p><p>B</p></div>", "A\nB"),
+        ("<div class=promo><p>x<p>y</div><p>Kept text.</p>", "Kept text."),
+        ("<p class=ad>a<div>real <b>text</b></div>", "real text"),
+        ("<p class=ad>a<br>b</p>c", "c"),
+        ("<ul><li class=promo>Ad<li>one</ul>", "one"),
+        ("<ul><li class=nav><ul><li>a<li>b</ul><li>kept</ul>", "kept"),
+        ("<dl><dt class=ad>x<dd>kept</dl>", "kept"),
+        ("<table><tr class=ad><td>x<td>y<tr><td>Kept</table>", "Kept"),
+        ("<article><p>Hi.</p></article>", "Hi."),
+        ("<p>Short.</p>" + "<nav>menu</nav>" * 3 + "<p>A longer line.</p>", "A longer line."),
+        ("<p><a href=x>only a link</a></p>", ""),
+    ],
+)
+def test_page_bounds(page, text):
+    """End tags that may be left out, and short texts that no window lets surge: the heaviest run is taken."""
+    assert html_extract.main_text(page) == text
+
+
+def test_heaviest_run():
+    """The run against all runs of lines that fewer than ``window`` empty lines part."""
+    rnd = random.Random(8)
+    for _ in range(300):
+        size = [rnd.choice([0, 0, 1, 2, 5]) for _ in range(rnd.randint(1, 14))]
+        runs, now = [], []
+        for i, n in enumerate(size):
+            if n and now and i - now[-1] > 3:
+                runs.append(now)
+                now = []
+            if n:
+                now.append(i)
+        runs += [now] if now else []
+        if runs:
+            best = max(runs, key=lambda r: sum(size[i] for i in r))
+            start, stop = html_extract._heaviest(size, 3)
+            assert [i for i in range(start, stop) if size[i]] == best
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="shared test tables are not here")
+def test_radius_holds_near_copies():
+    """Of all pairs of different texts with a five-word Jaccard of 0.8 or more, nine in ten lie within the radius."""
+    import pyarrow.parquet as pq
+
+    texts = sorted({t for t in pq.read_table("/root/testdata/sf0.1/documents.parquet")["text"].to_pylist() if t})
+    sets = []
+    for t in texts:
+        words = t.split()
+        sets.append({tuple(words[i : i + 5]) for i in range(len(words) - 4)})
+    homes = {}
+    for i, found in enumerate(sets):
+        for shingle in found:
+            homes.setdefault(shingle, []).append(i)
+    # A pair of such likeness shares one of the first fifth of its rarest shingles; all their documents are looked at.
+    maker, near, within = simhash.Fingerprinter(), 0, 0
+    for i, found in enumerate(sets):
+        if len(found) < 20:
+            continue
+        rare = sorted(found, key=lambda s: (len(homes[s]), s))[: len(found) // 5 + 1]
+        for j in {j for s in rare for j in homes[s] if j > i and len(sets[j]) >= 20}:
+            if 10 * len(found & sets[j]) >= 8 * len(found | sets[j]):
+                near += 1
+                a, b = (int.from_bytes(maker.of(texts[k].encode()), "big") for k in (i, j))
+                within += (a ^ b).bit_count() <= simhash.RADIUS
+    print(near, within)
+    assert near > 30 and within >= 0.9 * near
+
+
+def test_ranking_equals_a_plain_fit():
+    """Weights against gradient descent over every pair of a good and a bad row, and the cut at the share of bad ones."""
+    rnd = np.random.default_rng(3)
+    x = rnd.normal(size=(80, 4)).astype(np.float32)
+    good = x @ np.array([2.0, -1.0, 0.5, 0.0]) + rnd.normal(size=80) > 0.3
+    model = ranking.fit_pairs(x, good, steps=3000)
+    z = ((x - x.mean(0)) / (x.std(0) + 1e-3)).astype(float)
+    w = np.zeros(4)
+    for _ in range(3000):
+        pull = np.zeros(4)
+        for i in np.flatnonzero(good):
+            gap = z[i] - z[~good]
+            pull += (gap / (1 + np.exp(gap @ w))[:, None]).sum(0)
+        w += 0.1 * (pull / (good.sum() * (~good).sum()) - 0.03 * w)
+    assert model.weights @ w / np.linalg.norm(model.weights) / np.linalg.norm(w) > 0.98
+    assert abs(np.linalg.norm(model.weights) / np.linalg.norm(w) - 1) < 0.2
+    assert ((model.score(x) >= ranking.PASS).sum(), len(x)) == (good.sum(), 80)
+    assert ranking.fit_pairs(x, np.ones(80, dtype=bool)) is None
+
+
 @needs_tables
 def test_ranking_holds_out(spark):
     scored = QUERIES["op7_ranking"](spark, MORE)
