@@ -134,6 +134,18 @@ def test_query_tests_functions_on_all_examples(spark, monkeypatch):
     assert choose(rq._examples(spark, sf)) == {}
 
 
+def test_value_function_query_repairs_the_gapped_table(spark):
+    """The truth of a gap is not known to the query: gaps stay, every other flagged cell is repaired."""
+    from workload import fixtures as fx
+    from workload import repair_queries as rq
+
+    sf = "/root/testdata/sf0.001"
+    got = {r["row_id"]: r["priority"] for r in rq.value_function_repair(spark, sf).collect()}
+    clean = {r["row_id"]: r["priority"] for r in fx.priority_clean(spark, sf).collect()}
+    assert got == {k: None if k % 13 == 11 else v for k, v in clean.items()}
+    assert None in got.values()
+
+
 def test_vaegain_query_is_fully_trained(spark, monkeypatch):
     from cellsmith.operators.adversarial import VaeGainImputer
     from workload import impute_queries as iq
