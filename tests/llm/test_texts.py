@@ -308,6 +308,25 @@ def test_ranking_holds_out(spark):
     assert np.mean([r["predicted"] == r["quality"] for r in rows]) >= 0.95
 
 
+@pytest.mark.parametrize("block, good_share", [(8_000, 0.6), (1_000, 0.6), (1_000, 0.01)])
+def test_ranking_fits_every_labelled_row(spark, monkeypatch, block, good_share):
+    """More rows than a block: as many labelled rows pass as are good, and none of the labels is left out."""
+    monkeypatch.setattr(ranking, "BLOCK_ROWS", block, raising=False)
+    rnd = random.Random(5)
+    words = ["alpha", "Beta", "gamma9", "d-e", "x;y", "ZETA", "1,2", "eta."]
+    rows = []
+    for i in range(12_000):
+        good = rnd.random() < good_share
+        rows.append((i, " ".join(rnd.choices(words, [5 if good else 3, 2, 2, 2, 2, 2, 1, 3], k=rnd.randint(20, 60))), int(good)))
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, quality int")
+    model = ranking.fit_quality(docs.select("doc_id", "text"), docs.select("doc_id", "quality"))
+    scored = ranking.score_documents(docs, model).join(docs, "doc_id").filter("not held_out")
+    n, wanted, passed = scored.agg(F.count("*"), F.sum("quality"), F.sum("predicted")).first()
+    assert n > 8_000 and abs(passed - wanted) <= 1
+    up, down = (scored.filter(f"quality = {q}").agg(F.avg("score")).first()[0] for q in (1, 0))
+    assert up > down + 0.03
+
+
 def test_ranking_fold(spark):
     import zlib
 
