@@ -202,6 +202,36 @@ def test_transport_and_curvature():
     assert np.allclose(ad.curvature_inverse(g), np.diag(np.linalg.inv(np.outer(g, g) + np.eye(7))))
 
 
+def test_transport_by_factors_equals_the_log_plan(monkeypatch):
+    rng = np.random.default_rng(2)
+    x, y = rng.uniform(size=(20, 3)), rng.uniform(size=(30, 3))
+    by_factors = ad.sinkhorn_plan(x, y)
+    monkeypatch.setattr(ad, "FLAT", 0.0)
+    by_logs = ad.sinkhorn_plan(x, y)
+    assert np.allclose(by_factors[0], by_logs[0], rtol=1e-12) and np.allclose(by_factors[1], by_logs[1])
+
+
+@pytest.mark.parametrize("kind", ["gain", "sampled", "vaegain"])
+def test_blocks_of_a_stack_do_not_touch_each_other(kind):
+    """A block ends with the same weights alone and beside others of other sizes, also below a batch."""
+    model = ad.VaeGainImputer(COLUMNS, "id") if kind == "vaegain" else ad.GainImputer(COLUMNS, "id", batch_size=32)
+    d = len(COLUMNS)
+    local = model._local(3) if kind == "vaegain" else model._local(3, kind == "sampled", (2.0, 3.0) if kind == "sampled" else None)
+    rng = np.random.default_rng(1)
+    ms = [(rng.random((n, d)) > 0.3).astype(float) for n in (100, 5, 70, 33)]
+    xs = [m * rng.random(m.shape) for m in ms]
+    width = sum([3 * ad.weight_count(s) if k == "dis" else 2 * ad.weight_count(s) for k, s in model.nets.items()]) if kind == "vaegain" else len(model._initial())
+    start = np.zeros(width)
+    start[: width // 3] = rng.normal(size=width // 3) * 0.1
+    draws = lambda ks: [np.random.default_rng([7, k]) for k in ks]
+    together = np.tile(start, (4, 1))
+    local(1)(together, xs, ms, draws(range(4)))
+    for k in range(4):
+        alone = start[None].copy()
+        local(1)(alone, [xs[k]], [ms[k]], draws([k]))
+        assert np.allclose(alone[0], together[k], rtol=1e-9, atol=1e-12) and not np.allclose(alone[0], start)
+
+
 def test_batch_transport(spark):
     truth, gaps = matrix(300, 8)
     out = ad.batch_transport(frame(spark, truth), frame(spark, truth), "id", COLUMNS, batch=64)
