@@ -7,25 +7,21 @@ import json
 import re
 from collections.abc import Iterator
 from contextlib import contextmanager
-from itertools import pairwise
 from struct import pack
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellsmith.llm.common import col, fresh
+from cellsmith.llm.common import col, fresh, slices
 
 #: Fixed by the byte-level scheme: how a text is cut before the merges.
 PIECES = regex.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
 #: Entries of a generation of what a task remembers: pieces of at most CACHE_CHARS characters, and pairs of tokens.
 CACHE_PIECES, CACHE_CHARS, CACHE_PAIRS = 1 << 17, 48, 1 << 17
-#: Bytes of a batch that are worked on at a time (a longer text alone).
-SLICE_BYTES = 2 << 20
 FOREVER = 1 << 60
 #: A pair of token ids is one number: left * SPAN + right.
 SPAN = 1 << 24
@@ -193,18 +189,6 @@ def decode(ids: list[int], table: dict[int, bytes] | list[bytes]) -> str:
     return b"".join(map(table.__getitem__, ids)).decode("utf-8", errors="replace")
 
 
-def _slices(batches: Iterator[pa.RecordBatch], sized: str) -> Iterator[pa.RecordBatch]:
-    """Batches cut so that the column ``sized`` (texts or ids) has about SLICE_BYTES in each."""
-    for batch in batches:
-        column = batch.column(sized)
-        lengths = pc.list_value_length(column) if pa.types.is_list(column.type) else pc.binary_length(column)
-        upto = np.cumsum(pc.fill_null(lengths, 0).to_numpy(zero_copy_only=False).astype(np.int64))
-        cuts = [0, *(np.flatnonzero(np.diff(upto // SLICE_BYTES)) + 1).tolist(), batch.num_rows]
-        for start, end in pairwise(cuts):
-            if end > start:
-                yield batch.slice(start, end - start)
-
-
 _CODERS: dict[str, BytePairCoder] = {}
 
 
@@ -245,7 +229,7 @@ def encode_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with _coder(file.value) as coder:
-            for batch in _slices(batches, "text"):
+            for batch in slices(batches, "text"):
                 lists = _ids_of([coder.encode(t.as_py() or "") for t in batch.column("text")])
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *lists], names=["doc_id", "n_tokens", "ids"])
 
@@ -265,7 +249,7 @@ def decode_documents(encoded: DataFrame, tokenizer: str, ids_col: str = "ids") -
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with _coder(file.value) as coder:
-            for batch in _slices(batches, ids_col):
+            for batch in slices(batches, ids_col):
                 digests, texts = [], []
                 for value in batch.column(ids_col):
                     ids = np.asarray(value.values, dtype="<u4") if value.is_valid else np.empty(0, "<u4")
@@ -287,7 +271,7 @@ def round_trip(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with _coder(file.value) as coder:
-            for batch in _slices(batches, "text"):
+            for batch in slices(batches, "text"):
                 packed = [coder.encode(t.as_py() or "") for t in batch.column("text")]
                 sizes = pa.array([len(p) // 4 for p in packed], pa.int64())
                 digests = pa.array([hashlib.sha256(p).hexdigest() for p in packed], pa.string())

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cellsmith.llm.common import col
+from cellsmith.llm.common import col, slices
 
 #: Kinds in the order in which spans are listed; the first four are the base kinds.
 KINDS = ("email", "ip", "card", "phone", "secret")
@@ -549,7 +549,7 @@ def detect(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with _vocabulary(model.value) as vocabulary:
-            for batch in batches:
+            for batch in slices(batches, "text"):
                 found = find_spans([t.as_py() or "" for t in batch.column("text")], model.value, vocabulary)
                 counts = [pa.array([sum(s[0] == kind for s in own) for own, _ in found], pa.int64()) for kind in BASE]
                 digest = [hashlib.sha256(written(own).encode()).hexdigest() for own, _ in found]
@@ -574,7 +574,7 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         with _vocabulary(model.value) as vocabulary:
-            for batch in batches:
+            for batch in slices(batches, text_col):
                 texts = [t.as_py() for t in batch.column(place)]
                 out: list[str | None] = []
                 for text, (_, spans) in zip(texts, find_spans([t or "" for t in texts], model.value, vocabulary)):

@@ -72,3 +72,25 @@ def test_rest_imports_without(tmp_path):
     shutil.copy(f"{here}/__spark_entry__.py", tmp_path)
     code = "import __spark_entry__ as e; assert 'pipeline' not in e.queries() and len(e.queries()) > 90"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True)
+
+
+def test_sets_of_many_blocks_are_sent_in_bounded_batches(spark, monkeypatch):
+    """A set that meets many parts goes to many blocks; a batch holds no more than the slice and one set."""
+    from cellsmith.llm import ngram_join
+
+    sent, made = [], ngram_join.pa.RecordBatch.from_arrays
+
+    class Batches:
+        @staticmethod
+        def from_arrays(columns, names):
+            if names == ["block", "key", "tokens"]:
+                sent.append(sum(len(t.as_py()) for t in columns[2]))
+            return made(columns, names=names)
+
+    texts = [" ".join(f"w{k % 97}x{i}" for k in range(200)) for i in range(40)]
+    batch = ngram_join.pa.RecordBatch.from_pydict({"text": texts, "key": list(range(40)), "blocks": [[f"b{j}" for j in range(50)]] * 40})
+    monkeypatch.setattr(ngram_join, "SLICE_BYTES", 1 << 14, raising=False)
+    monkeypatch.setattr(ngram_join.pa, "RecordBatch", Batches)
+    rows = [r for out in ngram_join.to_blocks(iter([batch]), ngram_join.Likeness()) for r in out.to_pylist()]
+    one = 8 * max(len(r["tokens"]) // 8 for r in rows)
+    assert len(rows) == 2000 and max(sent) <= (1 << 14) + one
