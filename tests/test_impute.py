@@ -232,6 +232,14 @@ def test_blocks_of_a_stack_do_not_touch_each_other(kind):
         assert np.allclose(alone[0], together[k], rtol=1e-9, atol=1e-12) and not np.allclose(alone[0], start)
 
 
+def test_few_blocks_share_tasks(spark):
+    """Blocks of one task are stepped together, so there are no more tasks than cores while tasks are small."""
+    rows = spark.range(400).select(F.xxhash64("id").alias("h"), F.array(F.rand(1)).alias("x"), F.array(F.lit(1.0)).alias("m"))
+    packed = ad.pack_blocks(rows, 16, seed=1)
+    assert packed.rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism
+    assert packed.agg(F.sum("n")).first()[0] == 400
+
+
 def test_batch_transport(spark):
     truth, gaps = matrix(300, 8)
     out = ad.batch_transport(frame(spark, truth), frame(spark, truth), "id", COLUMNS, batch=64)
