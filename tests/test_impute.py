@@ -260,3 +260,13 @@ def test_scores(spark):
     assert norm_rmse_mae(rows, off, mask, "id").first()["rmse"] == pytest.approx(0.0, abs=1e-9)
     with pytest.raises(ValueError):
         masked_rmse_mae(rows, off.drop("a"), mask, "id")
+
+
+def test_scores_hash_keys_once(spark, monkeypatch):
+    """What the imputers and scores read has its row ids and gaps already computed."""
+    from workload import impute_queries as iq
+
+    seen = []
+    monkeypatch.setattr(iq, "compare_imputers", lambda truth, gaps, *rest: seen.extend([truth, gaps]) or spark.createDataFrame([("rmse",), ("mae",)], "metric string"))
+    iq.impute_scores(spark, "/root/testdata/sf0.001")
+    assert [t._jdf.queryExecution().optimizedPlan().toString().count("md5(") for t in seen] == [0, 0]
