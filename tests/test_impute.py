@@ -123,6 +123,41 @@ def test_forest(spark, tmp_path):
     assert np.allclose(values(im.ChainedForest.load(spark, str(tmp_path / "f")).transform(rows)), got)
 
 
+def test_forest_grows_on_cells(spark, monkeypatch):
+    """Trees see the cells of the bins, not the rows; they are those of the drawn rows, and lookups give what the trees give."""
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import RandomForestRegressor
+
+    rng = np.random.default_rng(9)
+    a, b = rng.integers(0, 6, 2000), rng.integers(0, 5, 2000)
+    gaps = np.column_stack([a, b, a * 2.0 + b + rng.normal(0, 1, 2000)]).astype(float)
+    gaps[rng.uniform(size=2000) < 0.2, 2] = np.nan
+    rows, sizes, fit = frame(spark, gaps), [], im.RandomForestRegressor.fit
+    monkeypatch.setattr(im.RandomForestRegressor, "fit", lambda self, df: (sizes.append(df.count()), fit(self, df))[1])
+    model = im.ChainedForest(COLUMNS, max_iter=1, trees=2, depth=4).fit(rows)
+    got = values(model.transform(rows))
+    assert len(sizes) == 2 and max(sizes) <= 30
+    monkeypatch.setattr(im, "GRID_CELLS", 0)
+    assert np.allclose(values(model.transform(rows)), got, atol=1e-9)
+
+    numbers = rows.select(*[F.when(~F.isnan(c), F.col(c)).alias(f"_c{i}") for i, c in enumerate(COLUMNS)])
+    drawn = im.dealt_by_content(numbers, 2000).filter("_c2 is not null").withColumn("times", im.poisson_draws(F.col("_row"), 2, 42)[0])
+    opened = drawn.select("*", F.explode(F.array_repeat(F.lit(1), F.col("times"))))
+    assert 0.9 < opened.count() / drawn.count() < 1.1
+    fed = VectorAssembler(inputCols=["_c0", "_c1"], outputCol="x")
+    want = fit(
+        RandomForestRegressor(numTrees=1, bootstrap=False, featureSubsetStrategy="all", maxDepth=4, featuresCol="x", labelCol="_c2"),
+        fed.transform(opened),
+    )
+    monkeypatch.setattr(im, "GRID_CELLS", 1 << 16)
+    all_inputs = im.ChainedForest(COLUMNS, max_iter=1, trees=1, depth=4).fit(rows)
+    lacking = np.isnan(gaps[:, 2])
+    filled = fed.transform(numbers.filter("_c2 is null"))
+    expect = sorted((r["_c0"], r["_c1"], round(r["prediction"], 9)) for r in want.transform(filled).collect())
+    found = values(all_inputs.transform(rows))[lacking]
+    assert sorted((r[0], r[1], round(r[2], 9)) for r in found) == expect
+
+
 def test_sample_is_exact_and_stable(spark):
     rows = spark.range(5000)
     got = {r[0] for r in im.seeded_sample(rows, "id", 300, 1).collect()}
