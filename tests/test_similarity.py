@@ -312,3 +312,19 @@ def test_eps_components_of_one_dense_place(spark):
     rows = dense.unionByName(spark.createDataFrame(chain, "id long, vec array<double>"))
     sizes = {r["cluster"]: r["count"] for r in eps_components(rows, "id", 0.5).groupBy("cluster").count().collect()}
     assert sizes == {0: 1_000_005, -1: 1}
+
+
+def test_searches_send_bounded_frames():
+    """Queries that meet every child of their node leave the kernel in frames of bounded size, none lost."""
+    import pandas as pd
+
+    from cellsmith.operators import metric
+
+    rng = np.random.default_rng(3)
+    part = pd.DataFrame({"qid": range(700), "vec": list(rng.normal(size=(700, 4))), "radius": np.nan})
+    children = pd.DataFrame({"child": range(256), "vec": list(rng.normal(size=(256, 4))), "low": 0.0, "high": 1.0, "split": False})
+    frames = list(metric._reached(7, part, children, 4))
+    assert max(map(len, frames)) <= metric.SENT_ROWS
+    met = pd.concat(frames)
+    assert len(met) == len(met[["qid", "node"]].drop_duplicates()) == 700 * 256
+    assert all((a == b).all() for a, b in zip(met["vec"].iloc[::9999], part["vec"].iloc[met["qid"].iloc[::9999]]))
