@@ -239,3 +239,15 @@ def test_rules_run_on_a_stream(spark, people, tmp_path):
     query = flags.writeStream.format("parquet").option("path", sink).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
     query.awaitTermination(60)
     assert [r["id"] for r in spark.read.parquet(sink).filter("age").collect()] == [2]
+
+
+def test_rows_are_spread_before_they_grow(spark, monkeypatch):
+    """A table in one partition is embedded and clustered by as many tasks as its rows ask for."""
+    from cellsmith import session
+    from workload import similarity_queries as sq
+
+    monkeypatch.setattr(session, "TASK_ROWS", 100)
+    seen = []
+    monkeypatch.setattr(sq, "clean_representatives", lambda rows, *rest: seen.append(rows))
+    sq.clean_representatives_query(spark, "/root/testdata/sf0.01")
+    assert seen[0].rdd.getNumPartitions() >= 20 and seen[0].count() == 2000
