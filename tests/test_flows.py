@@ -251,3 +251,19 @@ def test_rows_are_spread_before_they_grow(spark, monkeypatch):
     monkeypatch.setattr(sq, "clean_representatives", lambda rows, *rest: seen.append(rows))
     sq.clean_representatives_query(spark, "/root/testdata/sf0.01")
     assert seen[0].rdd.getNumPartitions() >= 20 and seen[0].count() == 2000
+
+
+def test_index_entries_are_spread(spark, monkeypatch):
+    """Index entries, queries and masked vectors of a table in one partition are embedded by as many tasks as its rows ask for."""
+    from cellsmith import session
+    from cellsmith.operators import repair as rp
+    from workload import fixtures as fx
+
+    monkeypatch.setattr(session, "TASK_ROWS", 100)
+    clean = fx.typo_clean(spark, "/root/testdata/sf0.01")
+    dirty, mask, columns = fx.typo_dirty(clean), fx.typo_mask(clean), ["name", "brand", "kind"]
+    index = rp.retrieval_index(dirty, mask, "row_id", "name", columns)
+    assert index.rdd.getNumPartitions() >= 20 and index.count() == 2000
+    asked = rp.query_vectors(dirty, mask, "row_id", mask.filter("name"), dict.fromkeys(columns, 1.0))
+    assert asked.rdd.getNumPartitions() >= 20 and asked.count() == mask.filter("name").count()
+    assert rp.masked_row_vectors(dirty, mask, "row_id", columns).rdd.getNumPartitions() >= 20
