@@ -267,3 +267,11 @@ def test_index_entries_are_spread(spark, monkeypatch):
     asked = rp.query_vectors(dirty, mask, "row_id", mask.filter("name"), dict.fromkeys(columns, 1.0))
     assert asked.rdd.getNumPartitions() >= 20 and asked.count() == mask.filter("name").count()
     assert rp.masked_row_vectors(dirty, mask, "row_id", columns).rdd.getNumPartitions() >= 20
+
+
+def test_ridge_query_hashes_its_rows_once(spark):
+    """What fills the gaps reads row ids and gaps that were written before, instead of hashing them again."""
+    from workload.impute_queries import ridge_impute
+
+    filled = ridge_impute(spark, "/root/testdata/sf0.001")
+    assert "md5" not in filled._jdf.queryExecution().optimizedPlan().toString()
