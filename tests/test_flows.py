@@ -275,3 +275,23 @@ def test_ridge_query_hashes_its_rows_once(spark):
 
     filled = ridge_impute(spark, "/root/testdata/sf0.001")
     assert "md5" not in filled._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_corrector_spreads_rows_before_they_grow(spark, monkeypatch):
+    """The corrector embeds a table of few partitions in as many tasks as its rows ask for."""
+    from cellsmith import session
+    from cellsmith.plans import corrector
+    from workload import fixtures as fx
+
+    class Seen(Exception):
+        pass
+
+    def look(rows, *rest, **more):
+        raise Seen(rows.rdd.getNumPartitions())
+
+    monkeypatch.setattr(session, "TASK_ROWS", 10)
+    monkeypatch.setattr(corrector, "clean_representatives", look)
+    clean = fx.typo_clean(spark, "/root/testdata/sf0.001").coalesce(1)
+    with pytest.raises(Seen) as seen:
+        corrector.CellCorrector("row_id").fit(fx.typo_dirty(clean), fx.typo_mask(clean), clean)
+    assert seen.value.args[0] == -(-clean.count() // 10) > 4
