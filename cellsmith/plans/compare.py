@@ -12,6 +12,7 @@ from cellsmith.operators.cells import row_any
 from cellsmith.operators.detect import contamination, cut_by_share, isolation_scores, lof_scores
 from cellsmith.operators.evaluate import compare_methods, correction_prf, error_drop_rate, masked_rmse_mae, row_prf
 from cellsmith.operators.fill import baseline_correct
+from cellsmith.session import checkpointed, spread_rows
 from cellsmith.sources.tables import detection_inputs
 
 
@@ -33,6 +34,8 @@ def compare_detectors(dirty: DataFrame, mask: DataFrame, key: str, predicted: Ma
     _, coded, truth = detection_inputs(dirty, mask, key)
     columns = [c for c in coded.columns if c != key]
     share = contamination(truth)
+    # A few files would leave all votes of the trees and all links to as few tasks; rows are coded once for both.
+    coded = checkpointed(spread_rows(coded))
     vectors = coded.select(key, F.array(*[F.col(f"`{c}`").cast("double") for c in columns]).alias("vec"))
     scores = {
         "isolation_forest": row_prf(truth, cut_by_share(isolation_scores(coded, key, columns), key, share), key),

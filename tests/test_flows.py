@@ -295,3 +295,28 @@ def test_corrector_spreads_rows_before_they_grow(spark, monkeypatch):
     with pytest.raises(Seen) as seen:
         corrector.CellCorrector("row_id").fit(fx.typo_dirty(clean), fx.typo_mask(clean), clean)
     assert seen.value.args[0] == -(-clean.count() // 10) > 4
+
+
+def test_detectors_spread_rows_before_they_score(spark, monkeypatch):
+    """Trees and links of a table in one partition are worked on by as many tasks as its rows ask for."""
+    from cellsmith import session
+    from cellsmith.plans import compare
+    from workload import fixtures as fx
+
+    seen = []
+
+    def watch(operator):
+        def run(rows, *rest, **more):
+            seen.append(rows.rdd.getNumPartitions())
+            return operator(rows, *rest, **more)
+
+        return run
+
+    monkeypatch.setattr(session, "TASK_ROWS", 20)
+    monkeypatch.setattr(compare, "isolation_scores", watch(compare.isolation_scores))
+    monkeypatch.setattr(compare, "lof_scores", watch(compare.lof_scores))
+    clean = fx.typo_clean(spark, "/root/testdata/sf0.001").coalesce(1)
+    dirty, mask = fx.typo_dirty(clean), fx.typo_mask(clean)
+    got = compare.compare_detectors(dirty, mask, "row_id", {"given": mask}).collect()
+    assert seen == [-(-clean.count() // 20)] * 2 and seen[0] > 4
+    assert all(r["given"] == 1.0 and 0.0 <= min(r["isolation_forest"], r["lof"]) for r in got)
