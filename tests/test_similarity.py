@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from cellsmith.operators.cluster import elbow_costs, eps_components, hierarchical_clusters, knee, medoids, nearest_to_mean, propagate_labels, repair_candidates, clean_representatives
 from cellsmith.operators.components import connected_components
+from cellsmith.operators import detect
 from cellsmith.operators.detect import cut_by_share, isolation_scores, lof_scores
 from cellsmith.operators import bands, cluster, lookup
 from cellsmith.operators.fill import baseline_correct, column_modes, knn_fill
@@ -183,6 +184,24 @@ def test_lof_matches_brute_force(spark):
     assert [got[i] for i in range(60)] == pytest.approx(want, rel=1e-6)
 
 
+def test_lof_of_copies_matches_brute_force(spark, monkeypatch):
+    """Copies beyond the nearest ones have one list of neighbours, told once: the links do not grow with the copies."""
+    x = np.repeat(points(13, 12, 2), [1, 2, 3, 4, 5, 6, 7, 40, 1, 1, 60, 25], axis=0)[np.random.default_rng(13).permutation(155)]
+    n, k, kinds = len(x), 5, 12
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2))
+    near = [sorted((j for j in range(n) if j != i), key=lambda j: (round(d[i, j] ** 2, 9), j))[:k] for i in range(n)]
+    kd = [max(d[i, j] for j in near[i]) for i in range(n)]
+    lrd = [1 / (np.mean([max(kd[j], d[i, j]) for j in near[i]]) + 1e-10) for i in range(n)]
+    want = [np.mean([lrd[j] for j in near[i]]) / lrd[i] for i in range(n)]
+    held, keep = [], detect.checkpointed
+    monkeypatch.setattr(detect, "checkpointed", lambda df: held.append(keep(df)) or held[-1])
+    rows = lof_scores(frame(spark, x), "id", 2, neighbours=k).collect()
+    got = {r["id"]: r["score"] for r in rows}
+    assert len(rows) == n and [got[i] for i in range(n)] == pytest.approx(want, rel=1e-6)
+    links = [h.count() for h in held if "dist" in h.columns]
+    assert links and max(links) <= kinds * (k + 2) * k < n * k
+
+
 def plain_fill(x, k=5):
     """Every row against every other."""
     want, d = x.copy(), x.shape[1]
