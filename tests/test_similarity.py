@@ -347,3 +347,37 @@ def test_searches_send_bounded_frames():
     met = pd.concat(frames)
     assert len(met) == len(met[["qid", "node"]].drop_duplicates()) == 700 * 256
     assert all((a == b).all() for a, b in zip(met["vec"].iloc[::9999], part["vec"].iloc[met["qid"].iloc[::9999]]))
+
+
+@pytest.mark.parametrize("search", ["knn", "lof", "eps"])
+def test_searches_write_each_vector_a_few_times(spark, monkeypatch, search):
+    """Vectors of many dimensions prune little, yet a vector is not written once for every leaf that it meets."""
+    from cellsmith.operators import cluster, detect, lookup, similarity
+
+    written, keep = [], metric.checkpointed
+
+    def counted(df):
+        out = keep(df)
+        if {"vec", "mat"} & set(out.columns):
+            written.append(out.agg(F.sum("n")).first()[0] if "mat" in out.columns else out.count())
+        return out
+
+    for module in (metric, similarity, cluster, detect, lookup):
+        monkeypatch.setattr(module, "checkpointed", counted)
+    monkeypatch.setattr(metric.build_index, "__defaults__", (16,))
+    x = points(31, 300, 12)
+    if search == "knn":
+        rows = frame(spark, x)
+        got = collected(knn_join(rows, rows, 5, 12, rows=16))
+        assert {i: [a for a, _ in v] for i, v in got.items()} == {i: [a for a, _ in v] for i, v in brute(x, x, 5).items()}
+    elif search == "lof":
+        monkeypatch.setattr(similarity.knn_shared, "__defaults__", (9, 16))
+        assert detect.lof_scores(frame(spark, x), "id", 12).count() == 300
+    else:
+        monkeypatch.setattr(similarity.eps_links, "__defaults__", (16,))
+        monkeypatch.setattr(similarity.cell_links, "__defaults__", (16,))
+        got = {r["id"]: r["cluster"] for r in eps_components(frame(spark, x), "id", 0.6).collect()}
+        near = np.sqrt(((x[:, None] - x[None]) ** 2).sum(2)) <= 0.6
+        assert all((got[i] == -1) == (near[i].sum() == 1) for i in got)
+        assert all(got[i] == got[j] for i, j in zip(*np.nonzero(near)) if i != j)
+    assert written and max(written) <= 300
