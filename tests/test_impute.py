@@ -283,6 +283,28 @@ def test_batch_transport(spark):
     assert out.agg(F.avg("distance")).first()[0] < worse.agg(F.avg("distance")).first()[0]
 
 
+def test_transport_moves_each_table_once(spark):
+    """One shuffle of numbers and hashes a table, whatever the keys: equal keys meet as in a join, NULL keys meet nothing."""
+    truth, _ = matrix(200, 8)
+    names = [c for c in COLUMNS]
+    left = frame(spark, truth).withColumn("id", F.when(F.col("id") == 7, F.lit(8)).when(F.col("id") != 9, F.col("id")))
+    right = frame(spark, truth + 1).withColumn("id", F.when(F.col("id") == 7, F.lit(8)).when(F.col("id") != 9, F.col("id")))
+    out = ad.batch_transport(left, right, "id", names, batch=16)
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2
+    sizes = left.join(right.select("id"), "id").groupBy(F.pmod(F.xxhash64("id"), F.lit(13)).cast("int").alias("batch")).count()
+    assert {r["batch"]: r["rows"] for r in out.collect()} == {r["batch"]: r["count"] for r in sizes.collect()}
+
+
+def test_large_inputs_stay_where_they_are(spark):
+    from cellsmith.session import spread
+
+    cores = spark.sparkContext.defaultParallelism
+    even = spark.range(0, 800, 1, 2 * cores)
+    assert "Exchange" not in spread(even)._jdf.queryExecution().executedPlan().toString()
+    assert spread(spark.range(0, 800, 1, 1)).rdd.getNumPartitions() == cores
+    assert spread(even.filter("id < 50")).rdd.getNumPartitions() == cores
+
+
 def test_scores(spark):
     truth, gaps = matrix(50, 9)
     rows = frame(spark, truth)
