@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,20 +27,11 @@ def _field(alias: str, column: str) -> Column:
     return F.col(alias).getField(column)
 
 
-def masked_rmse_mae(truth: DataFrame, imputed: DataFrame, mask: DataFrame, key: str) -> DataFrame:
-    """RMSE and MAE over cells whose mask is 0; no such cell gives 0."""
-    expected = set(truth.columns)
-    if expected != set(imputed.columns) or expected != set(mask.columns):
-        raise ValueError("truth, imputed and mask must have the same columns")
-    # Rows that are wholly observed add nothing; they leave before the join.
-    gappy = mask.filter(any_true([name(c).cast("int") == 0 for c in mask.columns if c != key]))
-    joined = align({"t": truth, "p": imputed, "m": gappy}, key)
-    columns = joined.schema["t"].dataType.names
-
+def _masked_errors(joined: DataFrame, columns: Sequence[str], truth: Callable[[str], Column], imputed: Callable[[str], Column], mask: Callable[[str], Column]) -> DataFrame:
     def gap(c: str) -> Column:
-        return F.when(_field("m", c) == 0, _field("t", c).cast("double") - _field("p", c).cast("double"))
+        return F.when(mask(c) == 0, truth(c).cast("double") - imputed(c).cast("double"))
 
-    missing = total([_count(_field("m", c) == 0) for c in columns])
+    missing = total([_count(mask(c) == 0) for c in columns])
     squares = total([F.coalesce(F.sum(gap(c) * gap(c)), F.lit(0.0)) for c in columns])
     absolutes = total([F.coalesce(F.sum(F.abs(gap(c))), F.lit(0.0)) for c in columns])
     return joined.agg(
@@ -48,6 +39,27 @@ def masked_rmse_mae(truth: DataFrame, imputed: DataFrame, mask: DataFrame, key:
     )
 
 
+def masked_rmse_mae(truth: DataFrame | str, imputed: DataFrame, mask: DataFrame | str, key: str) -> DataFrame:
+    """RMSE and MAE over cells whose mask is 0; no such cell gives 0.
+
+    ``truth`` and ``mask`` are tables, or the names of struct columns that ``imputed`` has beside its cells: then no row moves.
+    """
+    if isinstance(truth, str):
+        fields = [set(imputed.schema[c].dataType.names) for c in (truth, mask)]
+        columns = [c for c in imputed.columns if c not in (key, truth, mask)]
+        if any(f != set(columns) for f in fields):
+            raise ValueError("truth, imputed and mask must have the same columns")
+        return _masked_errors(imputed, columns, lambda c: _field(truth, c), name, lambda c: _field(mask, c))
+    expected = set(truth.columns)
+    if expected != set(imputed.columns) or expected != set(mask.columns):
+        raise ValueError("truth, imputed and mask must have the same columns")
+    # Rows that are wholly observed add nothing; they leave before the join.
+    gappy = mask.filter(any_true([name(c).cast("int") == 0 for c in mask.columns if c != key]))
+    joined = align({"t": truth, "p": imputed, "m": gappy}, key)
+    columns = joined.schema["t"].dataType.names
+    return _masked_errors(joined, columns, lambda c: _field("t", c), lambda c: _field("p", c), lambda c: _field("m", c))
+
+
 def norm_rmse_mae(truth: DataFrame, imputed: DataFrame, mask: DataFrame, key: str) -> DataFrame:
     """The same errors after each table is scaled by its own shifted range."""
     columns = common_columns([truth, imputed, mask], key)

@@ -319,6 +319,20 @@ def test_scores(spark):
         masked_rmse_mae(rows, off.drop("a"), mask, "id")
 
 
+def test_scores_beside_the_cells_move_no_row(spark):
+    from cellsmith.operators.impute import ChainedRidge
+
+    truth, gaps = matrix(60, 9)
+    known = frame(spark, truth).select("id", F.struct(*COLUMNS).alias("_truth"))
+    wide = missing_mask(frame(spark, gaps).join(known, "id"), "id", COLUMNS, "_mask")
+    wide = spark.createDataFrame(wide.collect(), wide.schema)
+    model = ChainedRidge(COLUMNS).fit(frame(spark, gaps))
+    score = masked_rmse_mae("_truth", model.transform(wide), "_mask", "id")
+    assert "Join" not in score._jdf.queryExecution().executedPlan().toString()
+    joined = masked_rmse_mae(frame(spark, truth), model.transform(frame(spark, gaps)), missing_mask(frame(spark, gaps), "id", COLUMNS), "id")
+    assert tuple(score.first()) == pytest.approx(tuple(joined.first()))
+
+
 def test_scores_hash_keys_once(spark, monkeypatch):
     """What the imputers and scores read has its row ids and gaps already computed."""
     from workload import impute_queries as iq
