@@ -320,3 +320,18 @@ def test_detectors_spread_rows_before_they_score(spark, monkeypatch):
     got = compare.compare_detectors(dirty, mask, "row_id", {"given": mask}).collect()
     assert seen == [-(-clean.count() // 20)] * 2 and seen[0] > 4
     assert all(r["given"] == 1.0 and 0.0 <= min(r["isolation_forest"], r["lof"]) for r in got)
+
+
+def test_texts_are_embedded_in_batches(spark):
+    """A batch gives what the trigrams of each text give, with empty texts, gaps and letters beyond the first plane."""
+    values = ["", "a", "Brand#12", "é€😀x", None, "aaaa"]
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "id int, v string")
+    out = rows.select("id", rp.cell_embedding(F.col("v"), 8).alias("vec"))
+    assert "ArrowEvalPython" in out._jdf.queryExecution().executedPlan().toString()
+    for r in out.collect():
+        codes = [ord(c) for c in f"^{'null' if values[r['id']] is None else values[r['id']]}$"]
+        counts = [0] * 8
+        for at in range(max(len(codes) - 2, 1)):
+            three = (codes[at : at + 3] + [0])[:3]
+            counts[sum(c * m for c, m in zip(three, rp.GRAM_MIX)) % rp.GRAM_MODULUS % 8] += 1
+        assert r["vec"] == [c / sum(c * c for c in counts) ** 0.5 for c in counts]
